@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import canonical, lines, mix, pack, split, tokens
+from . import canonical, lines, mix, pack, pii, split, tokens
 
 FIELDS = {"log_entries.kind": "kind", "log_entries.vendor": "vendor"}
 
@@ -21,6 +21,18 @@ def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(table(spark, sf_dir, "documents"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.free_texts(*(table(spark, sf_dir, t) for t in ("questions_log", "ratings", "log_entries", "threads")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_details(_texts(spark, sf_dir)).select("field", "row_key", "msg_no", "start_char", "pii_kind")
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact_details(_texts(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.find_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no")
 
