@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import canonical, lines, mix, pack, pii, split, tokens
+from . import canonical, lines, mix, pack, pii, split, tokens, turns
 
 FIELDS = {"log_entries.kind": "kind", "log_entries.vendor": "vendor"}
 
@@ -33,6 +33,14 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact_details(_texts(spark, sf_dir))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.speaker_turns(table(spark, sf_dir, "documents"), text=False).select("doc_id", "start_ms", "speaker").distinct()
+
+
+def p3_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.speaker_turns(table(spark, sf_dir, "documents"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.find_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no")
 

@@ -84,8 +84,15 @@ def segments(text: str | None, raw: str | None) -> list[tuple[int, str]]:
     return kept
 
 
+def near(a: str, b: str) -> bool:
+    """One typing error apart at most, in a word of five letters or more that begins or ends alike."""
+    return len(a) >= 5 and abs(len(a) - len(b)) < 2 and (a[:2] == b[:2] or a[-2:] == b[-2:]) and edits(a, b, 1) <= 1
+
+
 def fold(name: str) -> list[str]:
-    plain = "".join(c for c in unicodedata.normalize("NFKD", name.lower()) if not unicodedata.combining(c))
+    plain = name.lower()
+    if not plain.isascii():
+        plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
     return re.findall(r"[\w'’-]+", plain)
 
 
@@ -117,11 +124,11 @@ class Speakers:
                 s = 1.0
             elif len(words) == 1:
                 w = words[0]
-                s = 0.9 if w in (parts[0], parts[-1]) else 0.8 if w in parts else 0.7 if len(w) >= 5 and min(edits(w, parts[0], 1), edits(w, parts[-1], 1)) <= 1 else 0.0
+                s = 0.9 if w in (parts[0], parts[-1]) else 0.8 if w in parts else 0.7 if near(w, parts[0]) or near(w, parts[-1]) else 0.0
             else:
                 a, b = words[0], words[-1]
-                first = 1.0 if a == parts[0] else 0.9 if len(a) == 1 and a == parts[0][:1] else 0.7 if len(a) >= 5 and edits(a, parts[0], 1) <= 1 else 0.0
-                last = 1.0 if b == parts[-1] else 0.9 if len(b) == 1 and b == parts[-1][:1] else 0.7 if len(b) >= 5 and edits(b, parts[-1], 1) <= 1 else 0.0
+                first = 1.0 if a == parts[0] else 0.9 if len(a) == 1 and a == parts[0][:1] else 0.7 if near(a, parts[0]) else 0.0
+                last = 1.0 if b == parts[-1] else 0.9 if len(b) == 1 and b == parts[-1][:1] else 0.7 if near(b, parts[-1]) else 0.0
                 s = min(first, last) if max(first, last) >= 0.7 and max(len(a), len(b)) > 1 else 0.0
                 if not s and set(words) <= set(parts):
                     s = 0.8
@@ -273,8 +280,8 @@ def clean(text: str) -> str:
     return re.sub(r"\s+([,.;:!?])", r"\1", " ".join(out.split())).strip(" -–—,")
 
 
-def turns(t: Transcript, keep: np.ndarray) -> list[tuple[int, str, str]]:
-    """(start in ms, speaker, clean text), given which marks count."""
+def turns(t: Transcript, keep: np.ndarray, text: bool = True) -> list[tuple[int, str, str | None]]:
+    """(start in ms, speaker, clean text if wanted), given which marks count."""
     two = len(t.who.names) == 2
     stops = [(m, k) for m, k in zip(t.marks, keep, strict=True)]
     runs: list[list] = []  # speaker, ms, [texts]
@@ -304,14 +311,14 @@ def turns(t: Transcript, keep: np.ndarray) -> list[tuple[int, str, str]]:
             runs.append([now, t.ms[t.segment(w)], []])
             speaker = now
         runs[-1][2].append(t.text[lo:hi])
-    return [(ms, t.who.names[who], clean(" ".join(said))) for who, ms, said in runs]
+    return [(ms, t.who.names[who], clean(" ".join(said)) if text else None) for who, ms, said in runs]
 
 
 _SCHEMA = "doc_id long, turn_no int, start_ms long, speaker string, text string"
 
 
-def speaker_turns(docs: DataFrame, *, transcripts: int = TRAIN_TRANSCRIPTS) -> DataFrame:
-    """Turns of the recordings among docs (doc_id, kind, text, segments_json, speakers)."""
+def speaker_turns(docs: DataFrame, *, transcripts: int = TRAIN_TRANSCRIPTS, text: bool = True) -> DataFrame:
+    """Turns of the recordings among docs (doc_id, kind, text, segments_json, speakers); without text, text is null."""
     docs = docs.filter("kind <> 'website' and size(speakers) > 0").select("doc_id", "text", "segments_json", "speakers")
     shared = docs.sparkSession.sparkContext.broadcast(trained(transcripts))  # a few kB
 
@@ -332,7 +339,7 @@ def speaker_turns(docs: DataFrame, *, transcripts: int = TRAIN_TRANSCRIPTS) -> D
                 at, rows = 0, []
                 for i, t in zip(ids, read, strict=True):
                     n = len(t.marks)
-                    rows += [(i, k, *turn) for k, turn in enumerate(turns(t, p[at : at + n]))]
+                    rows += [(i, k, *turn) for k, turn in enumerate(turns(t, p[at : at + n], text))]
                     at += n
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 5
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string())
