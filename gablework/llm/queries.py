@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import canonical, lines, mix, pack, pii, split, tokens, turns
+from . import canonical, lines, mix, pack, pages, pii, residue, split, tokens, turns
 
 FIELDS = {"log_entries.kind": "kind", "log_entries.vendor": "vendor"}
 
@@ -49,6 +49,37 @@ def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.strip_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "clean_text")
 
 
+def _pages(spark: SparkSession, sf_dir: str, website_only: bool) -> tuple[DataFrame, DataFrame]:
+    """The documents, and their labelled lines."""
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.filter("kind = 'website'") if website_only else docs
+    return docs, cut(pages.label_lines(cut(pages.page_lines(docs, website_only=website_only))))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, lines_ = _pages(spark, sf_dir, True)
+    gone = residue.residue_documents(docs, lines_)
+    return lines_.filter(~F.col("article")).join(gone, "doc_id", "left_anti").select("doc_id", "line_no")
+
+
+def p6_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, lines_ = _pages(spark, sf_dir, True)
+    kept = lines_.filter("article").groupBy("doc_id").agg(F.collect_set("line_no").alias("kept"))
+    body = F.filter(F.split("text", "\n"), lambda x, i: F.array_contains("kept", i.cast("int")))
+    return docs.join(kept, "doc_id").select("doc_id", F.array_join(body, "\n").alias("article"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_documents(*_pages(spark, sf_dir, False))
+
+
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document that is made of units: its units' least class and how many classes they fall into."""
+    _, lines_ = _pages(spark, sf_dir, False)
+    units = lines_.filter("unit is not null").join(residue.unit_classes(lines_), "unit")
+    return units.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.countDistinct("class_id").alias("n_classes"), F.max(F.col("residue").cast("int")).alias("residue"))
+
+
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = table(spark, sf_dir, "ref_values")
     parts = [
