@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import canonical, lines, mix, pack, pages, pii, residue, split, tokens, turns
+from . import canonical, forest, lines, mix, pack, pages, pii, residue, split, tokens, turns
 
 FIELDS = {"log_entries.kind": "kind", "log_entries.vendor": "vendor"}
 
@@ -49,6 +49,25 @@ def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.strip_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "clean_text")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_join(table(spark, sf_dir, "chunks")).select("chunk_a", "chunk_b")
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries: the vectors of documents whose doc_id is divisible by 100; rows: all usable vectors."""
+    chunks = table(spark, sf_dir, "chunks")
+    rows = cut(forest.vectors(chunks).dropDuplicates(["id"]))
+    return cut(rows.join(chunks.filter("doc_id % 100 = 0").select("id").distinct(), "id", "left_semi")), rows
+
+
+def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(*_searched(spark, sf_dir))
+
+
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.recall(*_searched(spark, sf_dir))
+
+
 def _pages(spark: SparkSession, sf_dir: str, website_only: bool) -> tuple[DataFrame, DataFrame]:
     """The documents, and their labelled lines."""
     docs = table(spark, sf_dir, "documents")

@@ -196,7 +196,7 @@ def residue_documents(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id) of the cases among docs; lines: their labelled lines (pages.label_lines), of recordings too."""
     classes = cut(unit_classes(lines))
     judged = lines.filter("unit is not null").join(classes, "unit")
-    furniture = F.col("role").isin("teaser", "trail", "byline", "tags", "next", "comment", "title", "legal", "letter", "share", "advert")
+    furniture = F.col("role").isin("teaser", "trail", "byline", "tags", "next", "comment", "legal", "letter", "share", "advert")
     content = F.col("role").isin("para", "item", "line") & F.col("article") & ~F.col("residue")
     by = judged.groupBy("doc_id").agg(F.max((F.col("residue") & ~furniture).cast("int")).alias("bad"), F.max(content.cast("int")).alias("good"))
     return by.filter("bad = 1 and good = 0").select("doc_id").union(field_documents(docs)).distinct()
