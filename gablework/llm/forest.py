@@ -166,7 +166,8 @@ def search(queries: DataFrame, rows: DataFrame, *, k: int = 5, trees: int = TREE
     """(query, found, similarity, nth) of the k most similar rows of each query; both of vectors(). exact: by brute force in the same blocks."""
     counts = rows.count()
     shards = max(1, -(-counts // block))
-    placed = rows.select("id", "model", "dim", "unit", "h", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
+    # other names: both sides may stem from one plan
+    placed = rows.select(*(F.col(c).alias(f"r_{c}") for c in ("id", "model", "dim", "unit", "h")), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
     asked = queries.select("id", "model", "dim", "unit", "h", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def run(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -174,12 +175,12 @@ def search(queries: DataFrame, rows: DataFrame, *, k: int = 5, trees: int = TREE
         if not len(q) or not len(r):
             return pd.DataFrame(out, columns=["query", "found", "similarity"])
         for (model, dim), qs in q.groupby(["model", "dim"]):
-            rs = r[(r.model == model) & (r.dim == dim)]
+            rs = r[(r.r_model == model) & (r.r_dim == dim)]
             if not len(rs):
                 continue
-            x = np.stack([np.frombuffer(u, np.float32) for u in rs.unit])
-            hx = np.stack(rs.h.to_numpy()).view(np.uint64)
-            ids = rs.id.to_numpy()
+            x = np.stack([np.frombuffer(u, np.float32) for u in rs.r_unit])
+            hx = np.stack(rs.r_h.to_numpy()).view(np.uint64)
+            ids = rs.r_id.to_numpy()
             want = len(rs) if exact else min(len(rs), max(64, int(np.ceil(candidates * len(rs)))))
             order = [np.argsort(hx[:, t], kind="stable") for t in range(trees)]
             for qid, unit, h in zip(qs.id, qs.unit, qs.h, strict=True):
