@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import q_activity, q_corpus, q_facts, q_functions, q_ledger, q_retrieval, q_streams  # noqa: F401  (registration)
+from .registry import QUERIES, SQL, QueryFn
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, QueryFn]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
