@@ -13,7 +13,7 @@ Two uses:
   longest common prefixes from each and the best k of all blocks remain.
 
 Vectors are compared within groups of the same model and length. Null, empty, not finite and zero vectors and those without a model
-are left out. Equal directions are collapsed before the join: a class of copies is represented by its least id and expanded
+are left out. An id that comes with several vectors counts with each. Equal directions are collapsed before the join: a class of copies is represented by its least id and expanded
 again at the end, each member with the five copies of least id. Ties of similarity (to six places) go to the lesser id.
 """
 
@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as win
 
-from ..session import cut
+from ..session import cut, join_sized
 
 TREES, BITS, WINDOW, SEED = 16, 64, 12, 17
 #: Hash strings of so many trees together estimate the angle of a pair.
-SKETCH = 6
+SKETCH = 4
 #: Rows of a block of the search, and the share of a block that a query looks at.
 BLOCK, CANDIDATES = 16_384, 0.5
 
@@ -80,19 +80,20 @@ def vectors(chunks: DataFrame, *, trees: int = TREES) -> DataFrame:
 
 def near_join(chunks: DataFrame, *, k: int = 5, cosine: float = 0.95, trees: int = TREES, window: int = WINDOW) -> DataFrame:
     """(chunk_a, chunk_b, similarity): pairs of at least the cosine, one among the k most similar of the other; a < b."""
-    all_rows = cut(vectors(chunks, trees=trees).dropDuplicates(["id"]))
-    # classes of equal directions; rounding makes scaled copies equal, up to float32
-    whole = all_rows.select("id", "model", "dim", F.xxhash64("unit").alias("u1"), F.hash("unit").alias("u2"))
-    rep = cut(whole.groupBy("model", "dim", "u1", "u2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    kept = all_rows.join(rep.select(F.col("rep").alias("id"), "copies", F.xxhash64("rep").alias("node")), "id")
-    nodes = cut(kept.select("node", "id", "model", "dim", "unit", "h", "copies"))
-
-    sketch = [F.col("h")[t].alias(f"w{t}") for t in range(SKETCH)]
+    all_rows = cut(vectors(chunks, trees=trees).withColumn("node", F.xxhash64("id")))
+    # classes of equal directions; rounding makes scaled copies equal, up to float32. Vectors stay where they are: what travels
+    # is their hash here, their hash strings below, and the vectors of verified candidates at the end
+    whole = all_rows.select("id", "node", "model", "dim", F.xxhash64("unit").alias("u1"), F.hash("unit").alias("u2"))
+    rep = cut(whole.groupBy("model", "dim", "u1", "u2").agg(F.min("id").alias("rep"), (F.min("id") < F.max("id")).alias("several")))
+    chosen = rep.select(F.xxhash64("rep").alias("node")).distinct()
+    words = [F.col("h")[t].alias(f"w{t}") for t in range(SKETCH)]
     group = F.hash("model", "dim").alias("grp")
-    sorted_rows = nodes.select("node", group, F.posexplode("h").alias("tree", "key"), *sketch)
+    slim = all_rows.select("node", group, "h").join(chosen, "node", "left_semi").dropDuplicates(["node", "grp"])
+    sorted_rows = slim.select("node", "grp", F.posexplode("h").alias("tree", "key"), *words)
     # signed longs sort as their strings do once the sign bit is flipped
     sorted_rows = sorted_rows.withColumn("key", F.col("key").bitwiseXOR(F.lit(-(2**63))))
-    sorted_rows = sorted_rows.repartitionByRange("tree", "grp", "key", *(f"w{t}" for t in range(SKETCH))).sortWithinPartitions("tree", "grp", "key", *(f"w{t}" for t in range(SKETCH)))
+    order = ["tree", "grp", "key", *(f"w{t}" for t in range(SKETCH))]
+    sorted_rows = sorted_rows.repartitionByRange(*order).sortWithinPartitions(*order)
     angle = float(np.arccos(np.clip(cosine, -1, 1)) / np.pi)
     most_bits = int(np.ceil(SKETCH * BITS * angle + 6 * np.sqrt(SKETCH * BITS * angle * (1 - angle))))
 
@@ -118,25 +119,26 @@ def near_join(chunks: DataFrame, *, k: int = 5, cosine: float = 0.95, trees: int
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], names=["a", "b"])
             carry = m[-window:].copy()
 
-    met = sorted_rows.mapInArrow(run, "a long, b long").distinct()
-    side = nodes.select("node", "id", "copies", "unit", "model", "dim")
-    # a node is in few pairs (at most 2 * window * trees), so neither join has a hot key
-    named = lambda n: side.select(*(F.col(c).alias(f"{n}{c}") for c in side.columns))
-    both = met.join(named("x_"), F.col("a") == F.col("x_node")).join(named("y_"), F.col("b") == F.col("y_node")).filter("x_model = y_model and x_dim = y_dim")
+    met = cut(sorted_rows.mapInArrow(run, "a long, b long").distinct())
+    # only rows that are in a candidate pair are joined; a row is in few (at most 2 * window * trees), so no key is hot
+    named = cut(met.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    side = join_sized(all_rows.select("node", "id", "unit", "model", "dim"), named, ["node"], salt=F.lit(0), salts=1).dropDuplicates(["node", "model", "dim"])
+    as_ = lambda n: side.select(*(F.col(c).alias(f"{n}_{c}") for c in side.columns))
+    both = met.join(as_("x"), F.col("a") == F.col("x_node")).join(as_("y"), F.col("b") == F.col("y_node")).filter("x_model = y_model and x_dim = y_dim")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [float(np.frombuffer(x, np.float32).astype(np.float64) @ np.frombuffer(y, np.float32)) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            s = [float(np.frombuffer(x, np.float32).astype(np.float64) @ np.frombuffer(y, np.float32)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             keep = pa.array([i for i, v in enumerate(s) if v >= cosine - 1e-7], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(keep) for i in range(4)), pa.array(s, pa.float64()).take(keep)], names=["x", "y", "nx", "ny", "similarity"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array(s, pa.float64()).take(keep)], names=["x", "y", "similarity"])
 
-    schema = "x string, y string, nx long, ny long, similarity double"
-    pairs = cut(both.select(F.col("x_id"), F.col("y_id"), F.col("x_copies"), F.col("y_copies"), F.col("x_unit"), F.col("y_unit")).mapInArrow(verify, schema))
-    return expand(pairs, whole.join(rep, ["model", "dim", "u1", "u2"]).filter("copies > 1").select("rep", "id"), k)
+    pairs = cut(both.select("x_id", "y_id", "x_unit", "y_unit").mapInArrow(verify, "x string, y string, similarity double"))
+    members = whole.join(rep.filter("several"), ["model", "dim", "u1", "u2"]).select("rep", "id").distinct()
+    return expand(pairs, cut(members), k)
 
 
 def expand(pairs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """Pairs of single rows from pairs of classes (x, y, nx, ny, similarity) and the members of classes of several (rep, id)."""
+    """Pairs of single rows from pairs of classes (x, y, similarity) and the members of classes of several (rep, id)."""
     # of a class at most k + 1 members can be among the k most similar of another row: those of least id
     firsts = smallest(members, k + 1)
     directed = pairs.select(F.col("x").alias("rep"), F.col("y").alias("other"), "similarity").union(pairs.select(F.col("y").alias("rep"), F.col("x").alias("other"), "similarity"))
