@@ -97,7 +97,7 @@ def content_hash(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Runs up to a full stop, question or exclamation mark or line end, trimmed, none blank."""
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0)), lambda s: F.btrim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0)), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
 
 
 def figures(c: Column) -> Column:

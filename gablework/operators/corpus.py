@@ -96,9 +96,8 @@ def hopping_windows(segments: DataFrame, *, width: float, overlap: float = 15.0)
     """
     step = max(width - min(overlap, width / 2), 1e-3)
     doc = win.Window.partitionBy("doc_id")
-    at = F.col("start") - F.min("start").over(doc)
-    hi, lo = F.floor(at / step), F.floor((at - width) / step) + 1
-    inside = segments.withColumn("_at", at).withColumn("window_no", F.explode(F.sequence(F.greatest(lo, F.lit(0)), F.greatest(hi, F.lit(0)))))
+    hi, lo = F.floor(F.col("_at") / step), F.floor((F.col("_at") - width) / step) + 1
+    inside = segments.withColumn("_at", F.col("start") - F.min("start").over(doc)).withColumn("window_no", F.explode(F.sequence(F.greatest(lo, F.lit(0)), F.greatest(hi, F.lit(0)))))
     inside = inside.filter((F.col("_at") >= F.col("window_no") * step) & (F.col("_at") < F.col("window_no") * step + width))
     texts = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("no", T.segment_text(F.col("text")).alias("t")))), lambda s: s["t"]), lambda t: t != ""), " ")
     out = inside.groupBy("doc_id", "window_no").agg(F.min("start").alias("start"), F.greatest(F.max("end"), F.min("start")).alias("end"), texts.alias("text"), F.min("no").alias("first_no"), F.max("no").alias("last_no"))

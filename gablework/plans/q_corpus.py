@@ -84,7 +84,7 @@ def documents_without_chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT user_id AS doc_id, event_id AS no, epoch_us(ts) / 1000000.0::DOUBLE AS start, event_type AS text FROM events),
-a AS (SELECT *, start - min(start) OVER (PARTITION BY doc_id) AS at FROM e), w AS (SELECT a.*, w.w FROM a, (SELECT unnest(range(0, 60)) AS w) w WHERE at >= w.w * 64800.0 AND at < w.w * 64800.0 + 86400.0),
+a AS (SELECT *, start - min(start) OVER (PARTITION BY doc_id) AS pos FROM e), w AS (SELECT a.*, w.w FROM a, (SELECT unnest(range(0, 60)) AS w) w WHERE pos >= w.w * 64800.0 AND pos < w.w * 64800.0 + 86400.0),
 g AS (SELECT doc_id, w, min(no) AS first_no, max(no) AS last_no, array_to_string(list(text ORDER BY no), ' ') AS text FROM w GROUP BY ALL), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, first_no, last_no ORDER BY w) AS n FROM g)
 SELECT doc_id, w AS window_no, first_no, last_no, text FROM f WHERE n = 1""")
 def av_windows(s: SparkSession, d: str) -> DataFrame:
