@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..session import cut
 from . import pages
 
@@ -151,25 +152,6 @@ def near_pairs(hashed: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, class_id): the least node each node is connected with. Nodes without a pair are not in it.
-
-    Least labels travel along edges and jump to their own label's label, so that a chain takes a logarithm of its length in rounds.
-    """
-    edges = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("class_id")))
-    for _ in range(most_rounds):
-        across = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("class_id").alias("seen"))
-        new = labels.join(across.withColumnRenamed("a", "node"), "node", "left").select("node", F.least("class_id", "seen").alias("class_id"), F.col("class_id").alias("old"))
-        hop = new.select(F.col("node").alias("via"), F.col("class_id").alias("further"))
-        new = new.join(hop, new.class_id == hop.via, "left").select("node", F.least("class_id", "further").alias("class_id"), "old")
-        new = cut(new)
-        labels = new.select("node", "class_id")
-        if new.filter("class_id <> old").isEmpty():
-            break
-    return labels
-
-
 def field_documents(docs: DataFrame) -> DataFrame:
     """(doc_id) of documents with fields in their own words."""
 
