@@ -119,6 +119,8 @@ class Matcher:
 
     def mention(self, value: str) -> int:
         """ref_id of the longest embedded mention, 0 if there is none or it is ambiguous."""
+        if not self.exact:
+            return 0
         hits = sorted(((size, end - size, ref) for end, (ref, size) in self.auto.iter(f" {value} ")), key=lambda h: (-h[0], h[1]))
         taken: list[tuple[int, int]] = []
         won: list[tuple[int, int]] = []
