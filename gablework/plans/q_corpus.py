@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as win
 
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import corpus as C
 from ..session import table
+from ..sources import transcripts
 from .registry import query
 
 
@@ -94,12 +96,8 @@ def av_windows(s: SparkSession, d: str) -> DataFrame:
 
 def _segments(s: SparkSession, d: str) -> DataFrame:
     """Timed segments of recordings, from their JSON lists."""
-    shape = "array<struct<start:string,end:string,duration:string,text:string>>"
-    raw = F.coalesce(F.from_json("segments_json", shape), F.from_json(F.get_json_object("segments_json", "$.segments"), shape))
-    rows = _docs(s, d).select("doc_id", F.posexplode(raw).alias("no", "x"))
-    start = F.col("x.start").try_cast("double")
-    end = F.greatest(start, F.coalesce(F.col("x.end").try_cast("double"), start + F.col("x.duration").try_cast("double"), start))
-    return rows.filter(F.trim("x.text") != "").select("doc_id", F.col("no").cast("long").alias("no"), start.alias("start"), end.alias("end"), F.col("x.text").alias("text")).filter("start is not null")
+    rows = _docs(s, d).filter("kind <> 'website'").select("doc_id", F.posexplode(transcripts.json_segments(F.coalesce("segments_json", F.lit("[]")))).alias("no", "x"))
+    return rows.select("doc_id", F.col("no").cast("long").alias("no"), "x.start", "x.end", "x.text")
 
 
 @query()
@@ -119,7 +117,7 @@ def text_chunks(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def embed_batches(s: SparkSession, d: str) -> DataFrame:
-    c = _chunks(s, d).select(F.col("embedding_model").alias("group"), F.row_number().over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("embedding_model").orderBy("doc_id", "idx")).alias("no"), T.approx_tokens(F.col("text")).alias("tokens"))
+    c = _chunks(s, d).select(F.col("embedding_model").alias("group"), F.row_number().over(win.Window.partitionBy("embedding_model").orderBy("doc_id", "idx")).alias("no"), T.approx_tokens(F.col("text")).alias("tokens"))
     return C.next_batches(c, most_items=128, most_tokens=10_000)
 
 
