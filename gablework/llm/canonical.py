@@ -108,7 +108,7 @@ class Matcher:
             for k in {k for g in self._grams(token) for k in self.grams.get(g, ())}:
                 w = self.words[k]
                 size = max(len(w), len(token))
-                most = 0 if size < 3 else 1 if size < 6 else 2 if size < 9 else 3
+                most = 0 if size < 3 else 1 if size < 6 else 3
                 d = edits(token, w, most)
                 if d <= most:
                     found[w] = 1 - d / size
@@ -135,24 +135,25 @@ class Matcher:
     def similar(self, value: str) -> int:
         """ref_id of the entry whose words best cover the value's, 0 if none does well or two do equally well."""
         tokens = value.split()
-        core = [t for t in tokens if t not in self.affix] or tokens
-        near = [dict(self.near(t)) for t in tokens]
+        plain = [t not in self.affix for t in tokens]
+        # a word that usually says nothing stands for itself only
+        near = [dict(self.near(t)) if own else {t: 1.0} if t in self.by_word else {"company": 0.8} if t == "co" and "company" in self.by_word else {} for t, own in zip(tokens, plain, strict=True)]
         sure = {w for n in near for w in n}
         best: dict[int, float] = {}
         for k in {k for w in sure for k in self.by_word[w]}:
             ref, ws = self.names[k]
-            free, total = set(range(len(tokens))), 0.0
+            free, total, letters = set(range(len(tokens))), 0.0, 0
             for w in ws:
                 s, i = max(((near[i].get(w, 0.0), -i) for i in free), default=(0.0, 0))
                 if not s:
                     total = -1
                     break
                 total += s
+                letters += len(tokens[-i])
                 free.discard(-i)
-            if total < 0:
+            if total < 0 or letters < 2:  # a single letter names nothing
                 continue
-            extra = sum(1 for i in free if tokens[i] in core)
-            score = total / len(ws) - 0.3 * extra
+            score = total / len(ws) - 0.3 * sum(plain[i] for i in free)
             best[ref] = max(best.get(ref, 0.0), score)
         top = sorted(best.items(), key=lambda b: (-b[1], b[0]))
         if not top or top[0][1] < 0.62 or len(top) > 1 and top[0][1] - top[1][1] < 0.02:
