@@ -272,3 +272,33 @@ def audit(docs: DataFrame, chunks: DataFrame, *, thin: int = 40, long_line: int
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def ingest_plan(items: DataFrame) -> DataFrame:
+    """(source, method, n, minutes) of what is planned: items (source, method, seconds); an unknown length counts as an hour."""
+    return items.groupBy("source", "method").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("seconds") / 60, F.lit(60.0))).alias("minutes"))
+
+
+def source_findings(listed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(host, documents) of listed links' hosts, also through the links that redirects led from. listed: (url); docs: (locator, link)."""
+    from ..functions import urls as U
+
+    hosts = listed.select(U.host_key(F.col("url")).alias("host")).distinct()
+    by_locator = docs.select(U.host_key(F.col("locator")).alias("host"), "doc_id")
+    by_link = docs.filter("link is not null").select(U.host_key(F.col("link")).alias("host"), "doc_id")
+    n = by_locator.union(by_link).distinct().groupBy("host").agg(F.count("*").alias("documents"))
+    return hosts.join(n, "host", "left").select("host", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+def failure_report(failures: DataFrame) -> DataFrame:
+    """(line_no, line): a report of failures (locator, reason), grouped by reason: a head, then its locators."""
+    head = F.trim(F.split("reason", ":")[0])
+    groups = failures.groupBy(head.alias("h")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.concat(F.lit("  "), "locator", F.lit(": "), "reason"))).alias("rows"))
+    lines = groups.select("h", F.posexplode(F.concat(F.array(F.concat(F.col("n").cast("string"), F.lit(" x "), "h")), "rows")).alias("line_no", "line"))
+    return lines
+
+
+def reasons_from_report(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(locator, reason): reasons of wanted locators read back from a report's lines."""
+    parts = lines.filter(F.col("line").startswith("  ")).select(F.regexp_extract("line", r"^  (\S+): (.*)$", 1).alias("locator"), F.regexp_extract("line", r"^  (\S+): (.*)$", 2).alias("reason"))
+    return parts.join(wanted.select("locator").distinct(), "locator").groupBy("locator").agg(F.min("reason").alias("reason"))

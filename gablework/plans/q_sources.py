@@ -62,3 +62,39 @@ def pack_coverage(s: SparkSession, d: str) -> DataFrame:
 @query()
 def pack_parts(s: SparkSession, d: str) -> DataFrame:
     return P.packed(P.rendered(table(s, d, "documents")), 400_000)
+
+
+@query("""WITH d AS (SELECT doc_id, kind, title, row_number() OVER (PARTITION BY kind ORDER BY coalesce(TRY_CAST(episode AS INTEGER), -1) DESC, published_at DESC NULLS LAST, title DESC NULLS LAST, doc_id DESC) AS place FROM documents WHERE kind IN ('youtube', 'podcast') AND contains(lower(title), 'boiler'))
+SELECT doc_id, kind, CAST(place AS INTEGER) AS place FROM d""")
+def episode_catalogue(s: SparkSession, d: str) -> DataFrame:
+    from ..operators import episodes as E
+
+    return E.catalogue(table(s, d, "documents"), guest="boiler").select("doc_id", "kind", "place")
+
+
+@query()
+def episode_moments(s: SparkSession, d: str) -> DataFrame:
+    from ..operators import episodes as E
+    from ..operators import retrieval as R
+
+    docs = table(s, d, "documents").filter("kind <> 'website'").select("doc_id", "title", "link")
+    chunks = table(s, d, "chunks").select(F.col("id").alias("chunk_id"), "doc_id", "text", "start_time")
+    found = chunks.join(docs, "doc_id").withColumn("query_id", F.lit("all"))
+    return E.moments(found, R.distinctive_terms(chunks.select("chunk_id", "doc_id", "text"), limit=10))
+
+
+@query("SELECT source, kind AS method, count(*) AS n, round(sum(coalesce(TRY_CAST(episode AS DOUBLE) / 60, 60)), 4) AS minutes FROM documents GROUP BY ALL")
+def ingest_plan(s: SparkSession, d: str) -> DataFrame:
+    from ..operators import corpus as C
+
+    items = table(s, d, "documents").select("source", F.col("kind").alias("method"), F.col("episode").try_cast("double").alias("seconds"))
+    return C.ingest_plan(items).withColumn("minutes", F.round("minutes", 4))
+
+
+@query("""WITH h AS (SELECT DISTINCT source FROM documents WHERE kind = 'website'), x AS (SELECT doc_id, regexp_extract(locator, '^https?://(?:www\\.)?([^/?#:]*)', 1) AS host FROM documents UNION SELECT doc_id, regexp_extract(link, '^https?://(?:www\\.)?([^/?#:]*)', 1) FROM documents WHERE link IS NOT NULL)
+SELECT regexp_replace(source, '^www\\.', '') AS host, count(x.doc_id) AS documents FROM h LEFT JOIN x ON x.host = regexp_replace(source, '^www\\.', '') GROUP BY 1""")
+def source_findings(s: SparkSession, d: str) -> DataFrame:
+    from ..operators import corpus as C
+
+    docs = table(s, d, "documents")
+    return C.source_findings(docs.filter("kind = 'website'").select(F.concat(F.lit("https://"), "source", F.lit("/")).alias("url")), docs)

@@ -113,3 +113,31 @@ def test_catalogue_runs_without_the_subpackage():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100
+
+
+def test_titles_manifest_and_reports(spark, tmp_path):
+    import pytest
+
+    from gablework.functions import titles
+    from gablework.operators import corpus as C
+    from gablework.sources import manifest
+
+    g = lambda t, h=("Ann Bell",): one(spark, titles.guests(F.lit(t), F.array(*(F.lit(x) for x in h))))
+    assert g("Ep. 12: Roofs and rent with Jo Cray, Ann Bell and Sam O'Neil") == ["Jo Cray", "Sam O'Neil"]
+    assert g("#7 - Jo Cray: how to fix a roof") == ["Jo Cray"] and g("How to fix a roof") == []
+    assert one(spark, titles.distinct_stems(F.array(F.lit("roofs"), F.lit("roof"), F.lit("lease")))) == ["roofs", "lease"]
+    p = tmp_path / "m.yaml"
+    p.write_text("websites:\n  - url: https://a.example/?token=x\n")
+    m = manifest.load_manifest(str(p))
+    assert m.counts()["websites"] == 1 and m.warnings(spark).count() == 1
+    p.write_text("websites:\n  - url: ftp://a\n")
+    with pytest.raises(ValueError):
+        manifest.load_manifest(str(p))
+    p.write_text("ordinances:\n  - {id: a, rule: r, citation: '1-2', effective_from: 2024-01-01}\ncosts:\n  - {id: c, item: i, low: 1, high: 2}\n")
+    rules, costs = manifest.load_facts(spark, str(p))
+    assert rules.first().effective_from == "2024-01-01" and costs.first().high == 2.0
+    assert manifest.load_facts(spark, str(tmp_path / "none.yaml"))[0].count() == 0
+    f = spark.createDataFrame([("u1", "timeout: 30 s"), ("u2", "timeout: 9 s"), ("u3", "gone")], "locator string, reason string")
+    report = C.failure_report(f)
+    assert [r.line for r in report.filter("h = 'timeout'").orderBy("line_no").collect()] == ["2 x timeout", "  u1: timeout: 30 s", "  u2: timeout: 9 s"]
+    assert C.reasons_from_report(report, f.filter("locator = 'u2'")).first().reason == "timeout: 9 s"
