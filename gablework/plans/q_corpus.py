@@ -9,13 +9,13 @@ from pyspark.sql import window as win
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import corpus as C
-from ..session import table
+from ..session import spread, table
 from ..sources import transcripts
 from .registry import query
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents")
+    return spread(table(s, d, "documents"))
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import dates
 from ..functions import text as T
 from ..functions.text import NOISE
 from ..operators import facts as X
-from ..session import table
+from ..session import spread, table
 from .q_corpus import _TRIM
 from .registry import query
 
@@ -51,7 +51,7 @@ def fact_selection(s: SparkSession, d: str) -> DataFrame:
 
 
 def _passages(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "chunks").select(F.col("id").alias("chunk_id"), "doc_id", "text")
+    c = spread(table(s, d, "chunks")).select(F.col("id").alias("chunk_id"), "doc_id", "text")
     read = c.filter("doc_id % 7 = 0").select("chunk_id")
     return X.candidates(c, table(s, d, "documents"), read, kinds=("website",), binding=BIND)
 

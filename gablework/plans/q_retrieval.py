@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS
 from ..operators import retrieval as R
-from ..session import table
+from ..session import spread, table
 from .registry import query
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
@@ -38,7 +38,7 @@ fu AS (SELECT coalesce(lx.query_id, vr.query_id) AS query_id, coalesce(lx.chunk_
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "kind", "episode", "channel")
-    c = table(spark, sf_dir, "chunks").select(F.col("id").alias("chunk_id"), "doc_id", "text", F.col("embedding_model").alias("model"), "embedding")
+    c = spread(table(spark, sf_dir, "chunks")).select(F.col("id").alias("chunk_id"), "doc_id", "text", F.col("embedding_model").alias("model"), "embedding")
     return c.join(d, "doc_id")
 
 
@@ -52,7 +52,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH t AS (SELECT DISTINCT doc_id, unnest({toks('text')}) AS term FROM documents) SELECT term, count(*) AS df FROM t GROUP BY term")
 def term_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.term_document_frequency(table(spark, sf_dir, "documents"))
+    return R.term_document_frequency(spread(table(spark, sf_dir, "documents")))
 
 
 @query(f"WITH {_CORPUS} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM lx WHERE rank <= 8")
