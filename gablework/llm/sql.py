@@ -15,5 +15,16 @@ often AS (
 P4_FOUND = _LINES + " SELECT k.doc_id, k.line_no FROM keyed k JOIN often o USING (source, k)"
 
 
+_SPACE = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+P1_FOUND = f"""
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+lines AS (SELECT doc_id, unnest(generate_series(0, len(a) - 1)) AS i, unnest(a) AS x FROM cut),
+counted AS (SELECT doc_id, i, len(list_filter(regexp_split_to_array(x, '{_SPACE}'), lambda w: w <> '')) AS n FROM lines),
+marked AS (SELECT *, n > 0 AND coalesce(lag(n) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS opens FROM counted),
+paras AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS para_no FROM marked)
+SELECT doc_id, CAST(para_no AS INTEGER) AS para_no FROM paras WHERE n > 0 GROUP BY doc_id, para_no HAVING sum(n) > 350"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND}
+    return {"p1_found": P1_FOUND, "p4_found": P4_FOUND}
