@@ -37,7 +37,8 @@ def build_index(chunks: DataFrame) -> Index:
 
     idf is ln(n - df + 0.5) - ln(df + 0.5); terms for which it is negative get a quarter of the mean idf of all terms.
     """
-    toks = cut(chunks.select("chunk_id", T.tokens(F.col("text")).alias("toks")))
+    # dealt by chunk once: counting a chunk's terms then needs no shuffle of its postings
+    toks = cut(chunks.select("chunk_id", "text").repartition("chunk_id").select("chunk_id", T.tokens(F.col("text")).alias("toks")))
     corpus = cut(toks.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl")))
     postings = cut(toks.select("chunk_id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")))
     raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n")))  # one row
