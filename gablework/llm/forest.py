@@ -8,12 +8,14 @@ missed in one tree, and each tree has other edges.
 
 Two uses:
 - near_join: for all vectors at once, candidates within `window` places in a tree; those whose strings differ in too many bits to
-  reach the wanted cosine are dropped at once (by more than six standard deviations), the rest is verified exactly.
+  reach the wanted cosine are dropped at once (by more than six standard deviations), the rest is verified exactly. A row with a
+  window's worth of candidates may have more than its windows show: such rows and what they met are joined into crowds, and a crowd
+  is searched exactly, block by block.
 - search: a stated query set against all rows, in blocks: every block of rows is a forest of its own, a query takes the `candidates` rows of
   longest common prefixes from each and the best k of all blocks remain.
 
 Vectors are compared within groups of the same model and length. Null, empty, not finite and zero vectors and those without a model
-are left out. An id that comes with several vectors counts with each. Equal directions are collapsed before the join: a class of copies is represented by its least id and expanded
+are left out. An id that comes with several vectors counts with each. Equal directions (components to 1/65536) are collapsed before the join: a class of copies is represented by its least id and expanded
 again at the end, each member with the five copies of least id. Ties of similarity (to six places) go to the lesser id.
 """
 
@@ -24,10 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as win
 
+from ..operators.graph import components
 from ..session import cut, join_sized
 
 TREES, BITS, WINDOW, SEED = 16, 64, 12, 17
@@ -35,6 +39,8 @@ TREES, BITS, WINDOW, SEED = 16, 64, 12, 17
 SKETCH = 4
 #: Rows of a block of the search, and the share of a block that a query looks at.
 BLOCK, CANDIDATES = 16_384, 0.5
+#: Rows of a block of a crowd, and how finely directions are told apart when copies are collapsed.
+CROWD_BLOCK, GRID = 8_192, 65_536
 
 
 def directions(dim: int, trees: int = TREES, seed: int = SEED) -> np.ndarray:
@@ -48,7 +54,7 @@ def strings(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
 
 
 def vectors(chunks: DataFrame, *, trees: int = TREES) -> DataFrame:
-    """(id, model, dim, unit: float32 bytes, h: array of hash strings as signed longs) of the usable vectors, once each id."""
+    """(id, model, dim, unit: float32 bytes, same: digest of the rounded direction, h: array of hash strings as signed longs) of the usable vectors, once each id."""
     usable = chunks.filter("id is not null and embedding_model is not null and size(embedding) > 0").select("id", "embedding_model", "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,19 +78,20 @@ def vectors(chunks: DataFrame, *, trees: int = TREES) -> DataFrame:
                 take = pa.array(rows, pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, trees), pa.int32()), pa.array(h.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(np.full(len(rows), dim), pa.int32()), pa.array([r.tobytes() for r in x], pa.binary()), lists], names=["id", "model", "dim", "unit", "h"]
-                )
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(np.full(len(rows), dim), pa.int32()), pa.array([r.tobytes() for r in x], pa.binary()),
+                     pa.array([xxhash.xxh3_128_digest(r.tobytes()) for r in np.rint(x * GRID).astype(np.int32)], pa.binary()), lists], names=["id", "model", "dim", "unit", "same", "h"]
+                )
 
-    return usable.mapInArrow(run, "id string, model string, dim int, unit binary, h array<long>")
+    return usable.mapInArrow(run, "id string, model string, dim int, unit binary, same binary, h array<long>")
 
 
 def near_join(chunks: DataFrame, *, k: int = 5, cosine: float = 0.95, trees: int = TREES, window: int = WINDOW) -> DataFrame:
     """(chunk_a, chunk_b, similarity): pairs of at least the cosine, one among the k most similar of the other; a < b."""
     all_rows = cut(vectors(chunks, trees=trees).withColumn("node", F.xxhash64("id")))
-    # classes of equal directions; rounding makes scaled copies equal, up to float32. Vectors stay where they are: what travels
+    # classes of equal directions; rounding makes scaled copies equal, but for the few at an edge of the grid. Vectors stay where they are: what travels
     # is their hash here, their hash strings below, and the vectors of verified candidates at the end
-    whole = all_rows.select("id", "node", "model", "dim", F.xxhash64("unit").alias("u1"), F.hash("unit").alias("u2"))
-    rep = cut(whole.groupBy("model", "dim", "u1", "u2").agg(F.min("id").alias("rep"), (F.min("id") < F.max("id")).alias("several")))
+    whole = all_rows.select("id", "node", "model", "dim", "same")
+    rep = cut(whole.groupBy("model", "dim", "same").agg(F.min("id").alias("rep"), (F.min("id") < F.max("id")).alias("several")))
     chosen = rep.select(F.xxhash64("rep").alias("node")).distinct()
     words = [F.col("h")[t].alias(f"w{t}") for t in range(SKETCH)]
     group = F.hash("model", "dim").alias("grp")
@@ -120,11 +127,17 @@ def near_join(chunks: DataFrame, *, k: int = 5, cosine: float = 0.95, trees: int
             carry = m[-window:].copy()
 
     met = cut(sorted_rows.mapInArrow(run, "a long, b long").distinct())
+    crowded = cut(met.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count().filter(F.col("count") >= window).select("node"))
+    some = not crowded.isEmpty()
     # only rows that are in a candidate pair are joined; a row is in few (at most 2 * window * trees), so no key is hot
     named = cut(met.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     side = join_sized(all_rows.select("node", "id", "unit", "model", "dim"), named, ["node"], salt=F.lit(0), salts=1).dropDuplicates(["node", "model", "dim"])
     as_ = lambda n: side.select(*(F.col(c).alias(f"{n}_{c}") for c in side.columns))
-    both = met.join(as_("x"), F.col("a") == F.col("x_node")).join(as_("y"), F.col("b") == F.col("y_node")).filter("x_model = y_model and x_dim = y_dim")
+    alone = met
+    if some:  # pairs with a crowded row are left to the search of its crowd
+        for end in ("a", "b"):
+            alone = alone.join(crowded.select(F.col("node").alias(end)), end, "left_anti")
+    both = alone.select("a", "b").join(as_("x"), F.col("a") == F.col("x_node")).join(as_("y"), F.col("b") == F.col("y_node")).filter("x_model = y_model and x_dim = y_dim")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,10 +146,50 @@ def near_join(chunks: DataFrame, *, k: int = 5, cosine: float = 0.95, trees: int
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array(s, pa.float64()).take(keep)], names=["x", "y", "similarity"])
 
     pairs = cut(both.select("x_id", "y_id", "x_unit", "y_unit").mapInArrow(verify, "x string, y string, similarity double"))
-    members = whole.join(rep.filter("several"), ["model", "dim", "u1", "u2"]).select("rep", "id").distinct()
+    if some:
+        edges = met.join(crowded.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b").union(met.join(crowded.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b"))
+        pairs = cut(pairs.union(crowd_pairs(side.join(components(edges), "node"), k=k, cosine=cosine)).groupBy("x", "y").agg(F.max("similarity").alias("similarity")))
+    members = whole.join(rep.filter("several"), ["model", "dim", "same"]).select("rep", "id").distinct()
     return expand(pairs, cut(members), k)
 
 
+def crowd_pairs(rows: DataFrame, *, k: int, cosine: float, block: int = CROWD_BLOCK) -> DataFrame:
+    """(x, y, similarity): each row's k + 1 best of every block of its crowd, by brute force; rows: (class_id, id, model, dim, unit).
+
+    Every block meets every block of its crowd in a task of its own, so a crowd of any size needs two blocks' memory a task; the work is its square.
+    """
+    rows = cut(rows.select("class_id", "id", "model", "dim", "unit"))
+    shards = rows.groupBy("class_id").agg(F.ceil(F.count("*") / block).cast("int").alias("shards"))
+    placed = rows.join(shards, "class_id").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    left = placed.select("class_id", F.col("shard").alias("i"), every.alias("j"), "id", "model", "dim", "unit")
+    # other names: both sides stem from one plan
+    right = placed.select(F.col("class_id").alias("r_class_id"), every.alias("r_i"), F.col("shard").alias("r_j"), *(F.col(c).alias(f"r_{c}") for c in ("id", "model", "dim", "unit")))
+
+    def run(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"x": pd.Series(dtype=str), "y": pd.Series(dtype=str), "similarity": pd.Series(dtype=float)})]
+        r = r.sort_values("r_id")
+        for (model, dim), qs in q.groupby(["model", "dim"]):
+            rs = r[(r.r_model == model) & (r.r_dim == dim)]
+            if not len(rs):
+                continue
+            y, y_ids = np.stack([np.frombuffer(u, np.float32) for u in rs.r_unit]).astype(np.float64), rs.r_id.to_numpy()
+            # ids ascend, so a place taken off a rounded similarity breaks ties by id
+            place, most = np.arange(len(rs)) * 1e-12, min(k + 2, len(rs))
+            for lo in range(0, len(qs), 256):
+                part = qs.iloc[lo : lo + 256]
+                s = np.stack([np.frombuffer(u, np.float32) for u in part.unit]).astype(np.float64) @ y.T
+                top = np.argpartition(place - np.round(s, 6), most - 1, axis=1)[:, :most]
+                at = np.repeat(np.arange(len(part)), most)
+                x_ids, found, near = part.id.to_numpy()[at], y_ids[top.ravel()], s[at, top.ravel()]
+                keep = (near >= cosine - 1e-7) & (x_ids != found)
+                out.append(pd.DataFrame({"x": x_ids[keep], "y": found[keep], "similarity": near[keep]}))
+        return pd.concat(out)
+
+    met = left.groupBy("class_id", "i", "j").cogroup(right.groupBy("r_class_id", "r_i", "r_j")).applyInPandas(run, "x string, y string, similarity double")
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "similarity")
+
+
 def expand(pairs: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """Pairs of single rows from pairs of classes (x, y, similarity) and the members of classes of several (rep, id)."""
     # of a class at most k + 1 members can be among the k most similar of another row: those of least id

@@ -28,6 +28,26 @@ def test_join_finds_near_pairs(spark):
     assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
+def test_crowds_are_whole(spark):
+    # a third of all rows in one tight group, all at a cosine of over 0.95 to each other, and as many scaled copies of one vector
+    r = np.random.default_rng(2)
+    centre = r.standard_normal(64)
+    tight = centre + 0.18 * r.standard_normal((1000, 64))
+    vecs = np.concatenate((r.standard_normal((1850, 64)), tight, np.outer(r.uniform(0.2, 9, 150), r.standard_normal(64)))).astype(np.float32)
+    vecs = vecs[r.permutation(len(vecs))]
+    got = {(p.chunk_a, p.chunk_b) for p in forest.near_join(chunks(spark, vecs)).collect()}
+    want = brute(vecs, 5, 0.95)
+    assert len(want) > 3000 and len(got & want) >= 0.999 * len(want) and len(got - want) <= 0.001 * len(want)
+
+
+def test_crowd_in_blocks(spark):
+    r = np.random.default_rng(3)
+    vecs = (r.standard_normal(16) + 0.2 * r.standard_normal((300, 16))).astype(np.float32)
+    rows = forest.vectors(chunks(spark, vecs)).selectExpr("1L class_id", "id", "model", "dim", "unit")
+    pairs = forest.crowd_pairs(rows, k=5, cosine=0.95, block=70)
+    assert brute(vecs, 5, 0.95) <= {(p.x, p.y) for p in pairs.collect()}
+
+
 def test_edges(spark):
     vecs = [None, [], [0.0] * 8, [float("nan")] * 8, [1.0] * 8, [2.0] * 8, [1.0] * 7, None]
     got = [(p.chunk_a, p.chunk_b) for p in forest.near_join(chunks(spark, vecs)).collect()]
