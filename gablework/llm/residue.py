@@ -2,9 +2,10 @@
 
 Two kinds of evidence are trusted: fields of a template that stand in a text's own words (not those it merely mentions), and
 labelled messages (errors, access, scripts, filler). Pages without a paragraph of ordinary prose are taken apart into units, the lines that
-are left after the host's furniture; units are put into partitioned SimHash tables, pairs that share a table's key are verified by Hamming
-distance and by similarity of their five-word shingles, and the trusted labels spread through the connected components. A document
-is residue if it has fields, or if it has a residue unit and no unit of content.
+are left after the host's furniture; units are put into partitioned SimHash tables, and pairs within the Hamming distance that share a table's
+key are candidates. Similar units can be farther apart in SimHash, so units that share one of their rarest shingles are candidates too:
+with as many of the rarest as the similarity leaves room to miss, and one more, no similar pair is lost. All candidates are verified by
+similarity of their five-word shingles, and the trusted labels spread through the connected components. A document is residue if it has fields, or if it has a residue unit and no unit of content.
 
 Null and empty texts are no case (there is nothing to leave out of them). Copies have equal results, one row each.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..session import cut
+from ..session import cut, join_sized
 from . import pages
 
 #: A 64-bit SimHash is cut into BLOCKS blocks; a table is keyed by all but MOST_BITS of them (about 32 bits). Two hashes within
@@ -121,7 +122,7 @@ def table_keys(sim: int) -> list[int]:
 
 
 def hashed_units(units: DataFrame) -> DataFrame:
-    """(unit_id, unit, trusted, sim, keys) of distinct units; unit_id is a hash of the unit."""
+    """(unit_id, unit, trusted, sim, keys, grams) of distinct units; unit_id is a hash of the unit, grams are those of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,17 +130,36 @@ def hashed_units(units: DataFrame) -> DataFrame:
             ids = [xxhash.xxh64_intdigest(u) - (1 << 63) for u in texts]
             sims = [simhash(u) for u in texts]
             keys = pa.array([table_keys(x) for x in sims], pa.list_(pa.int64()))
+            grams = pa.array([[xxhash.xxh64_intdigest(g) - (1 << 63) for g in shingles(u)] for u in texts], pa.list_(pa.int64()))
             signed = pa.array([x - (1 << 64) if x >> 63 else x for x in sims], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array([trusted(u) for u in texts], pa.bool_()), signed, keys], names=["unit_id", "unit", "trusted", "sim", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array([trusted(u) for u in texts], pa.bool_()), signed, keys, grams], names=["unit_id", "unit", "trusted", "sim", "keys", "grams"])
 
-    return units.select("unit").distinct().mapInArrow(run, "unit_id long, unit string, trusted boolean, sim long, keys array<long>")
+    return units.select("unit").distinct().mapInArrow(run, "unit_id long, unit string, trusted boolean, sim long, keys array<long>, grams array<long>")
+
+
+def rarest_grams(hashed: DataFrame) -> DataFrame:
+    """(unit_id, n, gram): of a unit's n shingles the rarest, by the number of units that hold them, without those of one unit only.
+
+    Two sets of a similarity of at least t have t * n of the n shingles of either in common, so in any one order of all shingles they share one
+    of the first n - t * n + 1.
+    """
+    grams = hashed.select("unit_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    often = cut(grams.groupBy("gram").agg(F.count("*").alias("f")).filter("f > 1"))
+    shared = join_sized(grams, often, ["gram"], salt=F.col("unit_id")).groupBy("unit_id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("held"))
+    # shingles of this unit only are the rarest and take the first places
+    first = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1 - (F.col("n") - F.size("held"))
+    return shared.select("unit_id", "n", F.explode(F.slice("held", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("x")).select("unit_id", "n", "x.gram")
 
 
 def near_pairs(hashed: DataFrame) -> DataFrame:
     """(a, b) of near-duplicate units, verified; a < b. Units are distinct texts, so copies don't crowd a table's key."""
     tabled = hashed.select("unit_id", "sim", F.explode("keys").alias("key"))
     left, right = tabled.select(F.col("unit_id").alias("a"), F.col("sim").alias("sa"), "key"), tabled.select(F.col("unit_id").alias("b"), F.col("sim").alias("sb"), "key")
-    met = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= MOST_BITS)).select("a", "b").distinct()
+    met = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= MOST_BITS)).select("a", "b")
+    rare = cut(rarest_grams(hashed))
+    x, y = (rare.select(F.col("unit_id").alias(u), F.col("n").alias(f"n{u}"), "gram") for u in "ab")
+    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * SIMILARITY - 1e-9
+    met = met.union(x.join(y, "gram").filter((F.col("a") < F.col("b")) & sizes).select("a", "b")).distinct()
     text = hashed.select("unit_id", "unit")
     met = met.join(text.withColumnsRenamed({"unit_id": "a", "unit": "ua"}), "a").join(text.withColumnsRenamed({"unit_id": "b", "unit": "ub"}), "b").select("a", "ua", "b", "ub")
 

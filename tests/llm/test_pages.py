@@ -1,3 +1,5 @@
+import random
+
 from gablework.llm import pages, residue
 from gablework.session import cut
 
@@ -34,6 +36,26 @@ def test_residue(spark):
     assert residue.residue_documents(empty, pages.label_lines(pages.page_lines(empty))).count() == 0
 
 
+def test_no_similar_pair_is_lost(spark):
+    # texts of 45 to 80 words with up to two words replaced, many of them near the wanted similarity
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(400)]
+    units = []
+    for _ in range(60):
+        base = r.choices(words, k=r.randint(45, 80))
+        for _ in range(12):
+            other = list(base)
+            for at in r.sample(range(len(base)), r.choice((0, 1, 1, 2))):
+                other[at] = r.choice(words)
+            units.append(" ".join(other))
+    units = sorted({*units, "a b", "a b c d e", "a b c d e f"})
+    hashed = cut(residue.hashed_units(spark.createDataFrame([(u,) for u in units], "unit string")))
+    name = {x.unit_id: x.unit for x in hashed.select("unit_id", "unit").collect()}
+    got = [tuple(sorted((name[p.a], name[p.b]))) for p in residue.near_pairs(hashed).collect()]
+    want = {(a, b) for i, a in enumerate(units) for b in units[i + 1 :] if residue.similar(a, b)}
+    assert len(want) > 300 and set(got) == want and len(got) == len(want)
+
+
 def test_tables_meet_near_hashes():
     a = residue.simhash("the server gave up on this request")
     for bits in ((1, 17, 60), (0, 31, 32), (5, 6, 7)):
