@@ -87,7 +87,7 @@ def proposals(s: SparkSession, d: str) -> DataFrame:
 def proposal_groups(s: SparkSession, d: str) -> DataFrame:
     raws = X.proposals(_passages(s, d), PLACES, binding=BIND).select(F.concat_ws("#", "chunk_id", F.col("sentence_no").cast("string")).alias("id"), "kind", "rule", "topic", "jurisdiction", F.lit("").alias("citation"), F.col("chunk_id").alias("source"))
     known = table(s, d, "ref_values").select(F.explode(T.terms(F.col("canonical"))).alias("term"))
-    asked = table(s, d, "questions_log").dropDuplicates(["id"]).filter("not_covered and id % 100 = 0").select(F.col("id").alias("query_id"), F.col("question").alias("text"))
+    asked = table(s, d, "questions_log").dropDuplicates(["id"]).filter("not_covered").select(F.col("id").alias("query_id"), F.col("question").alias("text"))
     return X.review_order(X.grouped_proposals(raws, known, asked))
 
 

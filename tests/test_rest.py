@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -81,6 +82,29 @@ def test_groups(spark):
     assert g["3"].known and g["3"].wanted and g["3"].cited
 
 
+def test_every_unanswered_question_counts(spark, tmp_path):
+    from gablework.plans import q_facts
+
+    text = "The owner should keep 30 days of deposit interest in the ledger of the house."
+    spark.createDataFrame([("c1", 1, text)], "id string, doc_id long, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(1, "website", "t", "l", "2020-01-01")], "doc_id long, kind string, title string, link string, published_at string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("none",)], "canonical string").write.parquet(f"{tmp_path}/ref_values.parquet")
+    asked = [(7, True, "is the deposit held with interest"), (100, True, "ledger"), (200, False, "keep the ledger of the house")]
+    spark.createDataFrame(asked, "id long, not_covered boolean, question string").write.parquet(f"{tmp_path}/questions_log.parquet")
+    assert [(r.wanted, r.asked_for) for r in q_facts.proposal_groups(spark, str(tmp_path)).collect()] == [(True, True)]
+
+
+def test_wanted_as_one_by_one(spark):
+    r = random.Random(4)
+    words = [f"term{c}" for c in "abcdefghijkl"]
+    groups = {g: set(r.sample(words, r.randint(1, 4))) for g in range(60)}
+    asked = [(q, " ".join(r.sample(words, r.randint(0, 3)))) for q in range(12)]
+    terms = spark.createDataFrame([(g, w) for g, t in groups.items() for w in sorted(t)], "group_id int, w string")
+    got = {x.group_id for x in X.wanted_groups(terms, spark.createDataFrame(asked, "query_id int, text string")).collect()}
+    want = {g for g, t in groups.items() if any(len(t & set(q.split())) >= 2 for _, q in asked)}
+    assert got == want and 0 < len(want) < 60
+
+
 def test_deals_and_flags(spark):
     pay = lambda p, r, y: one(spark, deals.level_payment(F.lit(p), F.lit(r), F.lit(y)))
     assert pay(225000.0, 0.065, 30) == 1422.15 and pay(120000.0, 0.0, 10) == 1000.0 and pay(0.0, 0.05, 30) == 0.0 and pay(1.0, 0.05, 0) == 0.0
