@@ -6,7 +6,8 @@ line's letters without case, digits and the site's name). Each page is scored by
 path: a template that comes back on many pages of the host is furniture, a path is what most pages take it for. In the second pass
 every page is extracted anew with the paths that won on its host.
 
-Null and blank texts have no lines. A null source counts as one host. Copies of a page vote once each; nothing is shuffled but hashes.
+Null and blank texts have no lines. A null source counts as one host. Copies of a page, the same letters in the same lines, have one vote
+in their host together; nothing is shuffled but hashes.
 """
 
 from __future__ import annotations
@@ -160,7 +161,7 @@ def path(x: Line, sites: set[str]) -> str:
     return ("line|" if x.role in ("para", "line", "heading", "short", "head") else x.role + "|") + key
 
 
-_SCHEMA = "doc_id long, host string, line_no int, path long, role string, score float, unit string"
+_SCHEMA = "doc_id long, host string, page long, line_no int, path long, role string, score float, unit string"
 
 
 def unit_text(x: Line) -> str:
@@ -170,8 +171,9 @@ def unit_text(x: Line) -> str:
 
 
 def page_lines(docs: DataFrame, *, website_only: bool = True) -> DataFrame:
-    """(doc_id, host, line_no, path, role, score, unit) of the non-blank lines of pages, each page read by itself.
+    """(doc_id, host, page, line_no, path, role, score, unit) of the non-blank lines of pages, each page read by itself.
 
+    page: a hash of the letters of the page's lines in order, equal for its copies; lines without letters don't count.
     unit: the line's normalised text, for pages without a paragraph of ordinary prose (problem 10 looks at those), else null.
     """
     docs = docs.filter("text is not null")
@@ -182,28 +184,29 @@ def page_lines(docs: DataFrame, *, website_only: bool = True) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                out: tuple[list, ...] = ([], [], [], [], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
                 for i, source, title, text, kind in zip(*(part.column(k).to_pylist() for k in range(5)), strict=True):
                     lines, sites = read_page(text, title), site_names(source)
                     bare = not any(x.fun * 6 >= len(x.words) >= 25 for x in lines)
                     if kind != "website":  # cues are short lines: all of a recording's words count together
                         n = sum(len(x.words) for x in lines)
                         bare = n < 25 or sum(x.fun for x in lines) * 6 < n
+                    page = path_hash("\n".join(x.key for x in lines if x.key))
                     for x in lines:
-                        for col, v in zip(out, (i, source or "", x.no, path_hash(path(x, sites)), x.role, SCORES[x.role], unit_text(x) if bare else None), strict=True):
+                        for col, v in zip(out, (i, source or "", page, x.no, path_hash(path(x, sites)), x.role, SCORES[x.role], unit_text(x) if bare else None), strict=True):
                             col.append(v)
-                kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.float32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "host", "line_no", "path", "role", "score", "unit"])
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.float32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "host", "page", "line_no", "path", "role", "score", "unit"])
 
     return docs.select("doc_id", "source", "title", "text", "kind").mapInArrow(run, _SCHEMA)
 
 
 def winning_paths(lines: DataFrame, *, share_percent: int = SHARE_PERCENT, least: int = LEAST_PAGES) -> DataFrame:
     """(host, path, belongs) for the paths on which a host's vote differs from, or decides for, single pages."""
-    votes = lines.groupBy("host", "path", "doc_id").agg(F.max("score").alias("score"), F.max("role").alias("role"))
-    # pages vote once for a path; sums are combined on the map side, so a host with a third of all pages is no task of its own
+    votes = lines.groupBy("host", "path", "page").agg(F.max("score").alias("score"), F.max("role").alias("role"))
+    # pages vote once for a path, with all their copies; sums are combined on the map side, so a host with a third of all pages is no task of its own
     tally = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.max(F.col("role").isin("title", "item", "para", "teaser", "trail", "byline", "tags", "next", "comment").cast("int")).alias("fixed"))
-    pages = lines.groupBy("host").agg(F.countDistinct("doc_id").alias("pages"))
+    pages = lines.groupBy("host").agg(F.countDistinct("page").alias("pages"))
     tally = join_sized(tally.filter(F.col("n") >= least), cut(pages), ["host"], salt=F.hash("path"))
     common = (F.col("n") * 100 >= F.col("pages") * share_percent) & (F.col("fixed") == 0)
     return tally.select("host", "path", F.when(common, False).otherwise(F.col("mean") > 0.5).alias("belongs"), common.alias("common")).filter("common or not belongs")

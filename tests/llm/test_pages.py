@@ -20,6 +20,18 @@ def test_article_lines(spark):
     assert pages.label_lines(pages.page_lines(docs(spark, rows).limit(0))).count() == 0
 
 
+def test_copies_vote_once(spark):
+    # an article stored three times in a small host keeps its heading; a template of three different pages is still furniture
+    article = "Why the gutter leaks\n{para}\nWhat a gutter costs in the spring\n{para}\nAsk your neighbour first."
+    words = ("roof", "door", "window", "cellar", "garden")
+    rows = [(i, "website", "h.example", "Why the gutter leaks", article.format(para=PARA.format(n=3)), "x") for i in range(3)]
+    rows += [(10 + i, "website", "h.example", f"The {w}", f"The {w}\n{PARA.format(n=3)} It is the {w}.\nCall the owners before you come over.", "x") for i, w in enumerate(words)]
+    out = pages.label_lines(cut(pages.page_lines(docs(spark, rows))))
+    kept = {(r.doc_id, r.line_no) for r in out.filter("article").collect()}
+    assert {n for d, n in kept if d == 0} == {0, 1, 2, 3, 4}
+    assert {n for d, n in kept if d == 10} == {0, 1}
+
+
 def test_residue(spark):
     para = PARA.format(n=3)
     rows = [
