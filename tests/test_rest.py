@@ -82,6 +82,30 @@ def test_groups(spark):
     assert g["3"].known and g["3"].wanted and g["3"].cited
 
 
+def test_packs_are_in_one_order(spark):
+    from gablework.operators import packs as P
+
+    r = random.Random(6)
+    rows = []
+    for i in r.sample(range(400_000), 500):
+        kind, number, date = r.choice(["website", "website", "podcast"]), r.choice(["7", "12", None, "x"]), r.choice(["2020-01-01", "2021-05-05", None])
+        rows.append((i, kind, r.choice(["/blog/", "/"]), number, date, r.choice(["Roof", "door", None, "Attic"]), None, "x" * r.choice([5, 40, 90, 400])))
+    docs = spark.createDataFrame(rows, "doc_id long, kind string, locator string, episode string, published_at string, title string, link string, text string")
+    section = lambda x: "recordings" if x[1] != "website" else "posts" if x[2] == "/blog/" else "pages"
+    rows.sort(key=lambda x: (x[5] is not None, (x[5] or "").lower(), x[0]))
+    rows.sort(key=lambda x: x[4] or "" if section(x) == "posts" else "", reverse=True)
+    rows.sort(key=lambda x: int(x[3]) if section(x) == "recordings" and x[3] in ("7", "12") else -1)
+    got = {x.doc_id: (x.section, x.part, x.chars) for x in P.packed(P.rendered(docs), 300, 9).collect()}
+    want, state = {}, {}
+    for x in rows:
+        part, size = state.get(section(x), (0, 0))
+        n = got[x[0]][2]
+        part, size = (part + 1, n) if size and size + n > 300 else (part, size + n)
+        state[section(x)] = part, size
+        want[x[0]] = (section(x), part, n)
+    assert got == want
+
+
 def test_every_unanswered_question_counts(spark, tmp_path):
     from gablework.plans import q_facts
 
