@@ -1,8 +1,8 @@
 """Problem 4: lines repeated across the documents of one source.
 
 Copies of a document within a source are collapsed into a cluster first. A line is then counted once a cluster, weighted by the
-cluster's documents for the share of the source, and over distinct clusters and publication dates, so that a republished
-article doesn't look like boilerplate. Two lines are the same if their letters agree, ignoring case.
+cluster's documents for the share of the source, and over distinct clusters. Publication dates are reported but decide nothing, so
+an article republished with changes looks like boilerplate. Two lines are the same if their letters agree, ignoring case.
 
 Null or blank text holds no line of letters but counts as a document of its source; documents without a source are no case.
 Only hashes of lines are shuffled (96 bits each), never their text.
