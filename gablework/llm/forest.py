@@ -1,18 +1,19 @@
 """Problem 5: the most similar vectors of every vector, by a hash-prefix forest.
 
 Every vector gets, for each tree, a long hash string: the signs of its products with random directions. A tree is the sorted array
-of its strings. Going down, a vector's longest-prefix matches are its neighbours in that order; going up, prefixes get shorter and more
-neighbours match. Trees are climbed in step, so the candidates of a vector are those that share the longest prefixes with it in any
-tree. Trees are sorted over the whole cluster by ranges, so no key or group can crowd a task; only pairs at the edge of a range are
-missed in one tree, and each tree has other edges.
+of its strings. Going down a tree, a vector comes to its longest prefix that other vectors share. From there all trees are climbed in step,
+bit by bit, and the vectors that share the shorter prefixes join the candidates, until there are enough of them.
 
 Two uses:
-- near_join: for all vectors at once, candidates within `window` places in a tree; those whose strings differ in too many bits to
-  reach the wanted cosine are dropped at once (by more than six standard deviations), the rest is verified exactly. A row with a
-  window's worth of candidates may have more than its windows show: such rows and what they met are joined into crowds, and a crowd
-  is searched exactly, block by block.
-- search: a stated query set against all rows, in blocks: every block of rows is a forest of its own, a query takes the `candidates` rows of
-  longest common prefixes from each and the best k of all blocks remain.
+- near_join: for all vectors at once. Each tree is sorted over the cluster by ranges of bounded size, so no key or group can crowd a task; only
+  buckets at the edge of a range are cut, in one tree, and each tree has other edges. The first pass tells every vector's bucket sizes by depth in every tree;
+  summed over the trees they give the depth at which it stops. The second pass takes the buckets of that depth. Candidates whose strings differ
+  in too many bits to reach the wanted cosine are dropped at once (by more than six standard deviations), the rest is verified exactly. A row
+  with `crowd` near candidates may have more than its buckets show: such rows and what they met are joined into crowds, and a crowd is searched
+  exactly, block by block. A bucket over eight times what is enough (strings that no direction tells apart) is only looked into far
+  enough to see that its rows are crowded.
+- search: a stated query set against all rows, in blocks: every block of rows is a forest of its own, a query climbs until it has met the share
+  `candidates` of the block, and the best k of all blocks remain.
 
 Vectors are compared within groups of the same model and length. Null, empty, not finite and zero vectors and those without a model
 are left out. An id that comes with several vectors counts with each. Equal directions (components to 1/65536) are collapsed before the join: a class of copies is represented by its least id and expanded
@@ -34,11 +35,15 @@ from pyspark.sql import window as win
 from ..operators.graph import components
 from ..session import cut, join_sized
 
-TREES, BITS, WINDOW, SEED = 16, 64, 12, 17
+TREES, BITS, SEED = 16, 64, 17
+#: Candidates (of all trees, copies of one counted apart) at which a vector stops going up, and near ones at which it counts as crowded.
+ENOUGH, CROWD = 320, 12
+#: Places of trees that a task sorts and holds at once.
+TASK_ROWS = 300_000
 #: Hash strings of so many trees together estimate the angle of a pair.
 SKETCH = 4
-#: Rows of a block of the search, and the share of a block that a query looks at.
-BLOCK, CANDIDATES = 16_384, 0.5
+#: Rows and queries of a block of the search, and the share of its rows that a query looks at.
+BLOCK, QUERY_BLOCK, CANDIDATES = 16_384, 4096, 0.5
 #: Rows of a block of a crowd, and how finely directions are told apart when copies are collapsed.
 CROWD_BLOCK, GRID = 8_192, 65_536
 
@@ -85,7 +90,120 @@ def vectors(chunks: DataFrame, *, trees: int = TREES) -> DataFrame:
     return usable.mapInArrow(run, "id string, model string, dim int, unit binary, same binary, h array<long>")
 
 
-def near_join(chunks: DataFrame, *, k: int = 5, cosine: float = 0.95, trees: int = TREES, window: int = WINDOW) -> DataFrame:
+def _sorted_trees(rows: DataFrame, parts: int, *more: object) -> DataFrame:
+    """(node, grp, tree, key, more) of rows (node, grp, h, more): each tree's array in the order of its strings, cut into ranges of the cluster."""
+    each = rows.select("node", "grp", F.posexplode("h").alias("tree", "key"), *more)
+    # signed longs sort as their strings do once the sign bit is flipped; the node makes rows of one string divisible
+    each = each.withColumn("key", F.col("key").bitwiseXOR(F.lit(-(2**63))))
+    order = ["tree", "grp", "key", "node"]
+    return each.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """A task's range as one matrix of longs; its size is bounded by TASK_ROWS and the evenness of ranges."""
+    got = [np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(b.num_columns)], 1) for b in batches]
+    return np.concatenate(got) if got else np.zeros((0, 5 + SKETCH), np.int64)
+
+
+def common_prefix(m: np.ndarray) -> np.ndarray:
+    """Bits that each row's string has in common with the next row's; -1 between trees or groups."""
+    x = (m[1:, 3] ^ m[:-1, 3]).view(np.uint64)
+    high = np.zeros(len(x), np.int8)
+    for step in (32, 16, 8, 4, 2, 1):  # position of the highest bit that differs
+        big = x >> np.uint64(step) > 0
+        high[big] += step
+        x = np.where(big, x >> np.uint64(step), x)
+    out = np.where(x > 0, BITS - 1 - high, BITS).astype(np.int8)
+    out[(m[1:, 1] != m[:-1, 1]) | (m[1:, 2] != m[:-1, 2])] = -1
+    return out
+
+
+def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """pick over every `width` places in a row."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x, have = pick(x[:-step], x[step:]), have + step
+    return x
+
+
+def profile(lcp: np.ndarray, steps: int) -> np.ndarray:
+    """Of each of len(lcp) + 1 sorted rows, for j = 1 .. steps: the longest prefix that 2 ** j rows share with it (0: there is none)."""
+    n, out = len(lcp) + 1, []
+    for j in range(1, steps + 1):
+        size = 2**j
+        if n < size:
+            out.append(np.zeros(n, np.int8))
+            continue
+        held = _sliding(lcp, size - 1, np.minimum)  # the prefix of each run of `size` rows
+        edge = np.full(size - 1, -1, np.int8)
+        out.append(np.maximum(_sliding(np.concatenate((edge, held, edge)), size, np.maximum), 0))
+    return np.stack(out, 1)
+
+
+def _ascent(slim: DataFrame, enough: int, trees: int, parts: int) -> DataFrame:
+    """(node, grp, depth): the prefix length at which a row stops, having gone up all trees in step until they show it `enough` rows."""
+    steps = max(2, int(np.ceil(np.log2(enough))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _whole(batches)
+        if not len(m):
+            return
+        p = profile(common_prefix(m), steps).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(m[:, 0]), pa.array(m[:, 1].astype(np.int32)), pa.array([r.tobytes() for r in p], pa.binary())], names=["node", "grp", "p"])
+
+    shown = _sorted_trees(slim, parts).select("node", "grp", "tree", "key").mapInArrow(run, "node long, grp int, p binary")
+
+    def stop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            joined = b"".join(x for t in lists.to_pylist() for x in t)
+            sizes = np.asarray(lists.value_lengths())
+            p = np.frombuffer(joined, np.uint8).reshape(-1, steps)
+            row = np.repeat(np.arange(b.num_rows), sizes)
+            depth = np.zeros(b.num_rows, np.int32)
+            for d in range(BITS, 0, -1):  # all trees go up together
+                seen = np.bincount(row, ((p >= d) * 2.0 ** np.arange(1, steps + 1)).max(1), b.num_rows)
+                depth = np.where((depth == 0) & (seen >= enough), d, depth)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(depth)], names=["node", "grp", "depth"])
+
+    return shown.groupBy("node", "grp").agg(F.collect_list("p").alias("p")).mapInArrow(stop, "node long, grp int, depth int")
+
+
+def _bucket_pairs(m: np.ndarray, most_bits: int, most_rows: int, some: int, block: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Pairs (a < b) of rows that share a prefix of the depth at which one of them stopped, near by their sketches; m: node, grp, tree, key, depth, words."""
+    n = len(m)
+    if n < 2:
+        return
+    lcp, words, depth = common_prefix(m), m[:, 5:].view(np.uint64), m[:, 4]
+    lo, hi = np.arange(n), np.arange(n) + 1
+    for d in np.unique(depth):
+        edge = np.concatenate(([0], np.flatnonzero(lcp < d) + 1, [n]))
+        mine = np.flatnonzero(depth == d)
+        at = np.searchsorted(edge, mine, side="right")
+        lo[mine], hi[mine] = edge[at - 1], edge[at]
+    vast, here = hi - lo > most_rows, np.arange(n)
+    lo, hi = np.where(vast, np.maximum(lo, here - some), lo), np.where(vast, np.minimum(hi, here + some + 1), hi)
+    total = np.cumsum(hi - lo)
+    begin = 0
+    while begin < n:  # as many rows at a time as make a block of pairs
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + block, side="right")))
+        size = (hi - lo)[begin:end]
+        i = np.repeat(np.arange(begin, end), size)
+        j = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[begin:end], size)
+        other = i != j
+        i, j = i[other], j[other]
+        bits = np.zeros(len(i), np.uint16)
+        for w in range(words.shape[1]):
+            bits += np.bitwise_count(words[i, w] ^ words[j, w])
+        near = bits <= most_bits
+        a, b = m[i[near], 0], m[j[near], 0]
+        both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        begin = end
+
+
+def near_join(chunks: DataFrame, *, k: int = 5, cosine: float = 0.95, trees: int = TREES, candidates: int = ENOUGH, crowd: int = CROWD) -> DataFrame:
     """(chunk_a, chunk_b, similarity): pairs of at least the cosine, one among the k most similar of the other; a < b."""
     all_rows = cut(vectors(chunks, trees=trees).withColumn("node", F.xxhash64("id")))
     # classes of equal directions; rounding makes scaled copies equal, but for the few at an edge of the grid. Vectors stay where they are: what travels
@@ -93,43 +211,21 @@ def near_join(chunks: DataFrame, *, k: int = 5, cosine: float = 0.95, trees: int
     whole = all_rows.select("id", "node", "model", "dim", "same")
     rep = cut(whole.groupBy("model", "dim", "same").agg(F.min("id").alias("rep"), (F.min("id") < F.max("id")).alias("several")))
     chosen = rep.select(F.xxhash64("rep").alias("node")).distinct()
-    words = [F.col("h")[t].alias(f"w{t}") for t in range(SKETCH)]
     group = F.hash("model", "dim").alias("grp")
-    slim = all_rows.select("node", group, "h").join(chosen, "node", "left_semi").dropDuplicates(["node", "grp"])
-    sorted_rows = slim.select("node", "grp", F.posexplode("h").alias("tree", "key"), *words)
-    # signed longs sort as their strings do once the sign bit is flipped
-    sorted_rows = sorted_rows.withColumn("key", F.col("key").bitwiseXOR(F.lit(-(2**63))))
-    order = ["tree", "grp", "key", *(f"w{t}" for t in range(SKETCH))]
-    sorted_rows = sorted_rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    slim = cut(all_rows.select("node", group, "h").join(chosen, "node", "left_semi").dropDuplicates(["node", "grp"]))
     angle = float(np.arccos(np.clip(cosine, -1, 1)) / np.pi)
     most_bits = int(np.ceil(SKETCH * BITS * angle + 6 * np.sqrt(SKETCH * BITS * angle * (1 - angle))))
+    parts = max(slim.sparkSession.sparkContext.defaultParallelism, -(-slim.count() * trees // TASK_ROWS))
+    sketch = [F.col("h")[t].alias(f"w{t}") for t in range(SKETCH)]
+    climbed = _sorted_trees(slim.join(_ascent(slim, candidates, trees, parts), ["node", "grp"]), parts, "depth", *sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: np.ndarray | None = None
-        for b in batches:
-            cols = [np.asarray(b.column(i)).astype(np.int64) for i in range(4 + SKETCH)]
-            m = np.stack(cols, 1)
-            fresh = 0 if carry is None else len(carry)
-            if carry is not None:
-                m = np.concatenate((carry, m))
-            words = m[:, 4:].view(np.uint64)
-            a_out, b_out = [], []
-            for w in range(1, window + 1):
-                i = np.arange(max(0, fresh - w), len(m) - w)  # the later row of the pair is new
-                j = i + w
-                same = (m[i, 1] == m[j, 1]) & (m[i, 2] == m[j, 2])
-                i, j = i[same], j[same]
-                near = np.bitwise_count(words[i] ^ words[j]).sum(1) <= most_bits
-                a_out.append(m[i[near], 0])
-                b_out.append(m[j[near], 0])
-            a, c = np.concatenate(a_out), np.concatenate(b_out)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], names=["a", "b"])
-            carry = m[-window:].copy()
-
-    met = cut(sorted_rows.mapInArrow(run, "a long, b long").distinct())
-    crowded = cut(met.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count().filter(F.col("count") >= window).select("node"))
+        yield from _bucket_pairs(_whole(batches), most_bits, 8 * candidates, 2 * crowd)
+
+    met = cut(climbed.mapInArrow(run, "a long, b long").distinct())
+    crowded = cut(met.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count().filter(F.col("count") >= crowd).select("node"))
     some = not crowded.isEmpty()
-    # only rows that are in a candidate pair are joined; a row is in few (at most 2 * window * trees), so no key is hot
+    # only rows that are in a candidate pair are joined; rows alone are in less than `crowd` of them, crowded rows in about as many as they have candidates
     named = cut(met.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     side = join_sized(all_rows.select("node", "id", "unit", "model", "dim"), named, ["node"], salt=F.lit(0), salts=1).dropDuplicates(["node", "model", "dim"])
     as_ = lambda n: side.select(*(F.col(c).alias(f"{n}_{c}") for c in side.columns))
@@ -217,13 +313,12 @@ def smallest(members: DataFrame, n: int) -> DataFrame:
     return second.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("least"))
 
 
-def search(queries: DataFrame, rows: DataFrame, *, k: int = 5, trees: int = TREES, candidates: float = CANDIDATES, block: int = BLOCK, exact: bool = False) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, *, k: int = 5, trees: int = TREES, candidates: float = CANDIDATES, block: int = BLOCK, query_block: int = QUERY_BLOCK, exact: bool = False) -> DataFrame:
     """(query, found, similarity, nth) of the k most similar rows of each query; both of vectors(). exact: by brute force in the same blocks."""
-    counts = rows.count()
-    shards = max(1, -(-counts // block))
+    shards, asks = max(1, -(-rows.count() // block)), max(1, -(-queries.count() // query_block))
     # other names: both sides may stem from one plan
-    placed = rows.select(*(F.col(c).alias(f"r_{c}") for c in ("id", "model", "dim", "unit", "h")), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
-    asked = queries.select("id", "model", "dim", "unit", "h", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    placed = rows.select(*(F.col(c).alias(f"r_{c}") for c in ("id", "model", "dim", "unit", "h")), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"))
+    asked = queries.select("id", "model", "dim", "unit", "h", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asks)).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def run(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -248,27 +343,30 @@ def search(queries: DataFrame, rows: DataFrame, *, k: int = 5, trees: int = TREE
                 out += [(qid, ids[at[i]], s[i]) for i in top]
         return pd.DataFrame(out, columns=["query", "found", "similarity"])
 
-    met = asked.groupBy("shard").cogroup(placed.groupBy("shard")).applyInPandas(run, "query string, found string, similarity double")
+    met = asked.groupBy("shard", "ask").cogroup(placed.groupBy("shard", "ask")).applyInPandas(run, "query string, found string, similarity double")
     near = F.round("similarity", 6)
     return met.withColumn("nth", F.row_number().over(win.Window.partitionBy("query").orderBy(near.desc(), "found"))).filter(F.col("nth") <= k)
 
 
 def climb(h: np.ndarray, hx: np.ndarray, order: list[np.ndarray], want: int) -> np.ndarray:
     """Rows that share the longest prefixes with a query in any tree: all trees go up one bit at a time until enough are met."""
-    taken = np.zeros(len(hx), bool)
-    spans = []
-    for t, o in enumerate(order):
-        spans.append((hx[o, t], o))
-    for depth in range(20, -1, -1):
+    taken, keys = np.zeros(len(hx), bool), [hx[o, t] for t, o in enumerate(order)]
+    held = [(0, 0)] * len(order)
+    # the longest prefix in any tree is shared with a neighbour of the query's place
+    places = [int(np.searchsorted(k, v)) for k, v in zip(keys, h, strict=True)]
+    first = max(BITS - int(k[i] ^ v).bit_length() for k, v, p in zip(keys, h, places, strict=True) for i in (p - 1, p) if 0 <= i < len(k))
+    for depth in range(first, -1, -1):
         shift = np.uint64(BITS - depth)
-        for t, (keys, o) in enumerate(spans):
+        for t, o in enumerate(order):
             if depth:
-                lo = (h[t] >> shift) << shift
-                hi = lo | ((np.uint64(1) << shift) - np.uint64(1))
-                a, b = np.searchsorted(keys, lo), np.searchsorted(keys, hi, side="right")
+                lo = (h[t] >> shift) << shift if depth < BITS else h[t]
+                hi = lo | ((np.uint64(1) << shift) - np.uint64(1)) if depth < BITS else h[t]
+                a, b = int(np.searchsorted(keys[t], lo)), int(np.searchsorted(keys[t], hi, side="right"))
             else:
-                a, b = 0, len(keys)
-            taken[o[a:b]] = True
+                a, b = 0, len(keys[t])
+            if (a, b) != held[t]:
+                taken[o[a:b]] = True
+                held[t] = a, b
         if taken.sum() >= want:
             break
     return np.flatnonzero(taken)

@@ -7,22 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, spread, table
+from ..session import cut, table
 from . import canonical, forest, lines, mix, pack, pages, pii, residue, split, tokens, turns
 
 FIELDS = {"log_entries.kind": "kind", "log_entries.vendor": "vendor"}
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.oversized_paragraphs(spread(table(spark, sf_dir, "documents")))
+    return split.oversized_paragraphs(table(spark, sf_dir, "documents"))
 
 
 def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.split_oversized(spread(table(spark, sf_dir, "documents")))
+    return split.split_oversized(table(spark, sf_dir, "documents"))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(pii.free_texts(*(table(spark, sf_dir, t) for t in ("questions_log", "ratings", "log_entries", "threads"))))
+    return pii.free_texts(*(table(spark, sf_dir, t) for t in ("questions_log", "ratings", "log_entries", "threads")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,28 +34,28 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns.speaker_turns(spread(table(spark, sf_dir, "documents")), text=False).select("doc_id", "start_ms", "speaker").distinct()
+    return turns.speaker_turns(table(spark, sf_dir, "documents"), text=False).select("doc_id", "start_ms", "speaker").distinct()
 
 
 def p3_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns.speaker_turns(spread(table(spark, sf_dir, "documents")))
+    return turns.speaker_turns(table(spark, sf_dir, "documents"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.find_repeated_lines(spread(table(spark, sf_dir, "documents"))).select("doc_id", "line_no")
+    return lines.find_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no")
 
 
 def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.strip_repeated_lines(spread(table(spark, sf_dir, "documents"))).select("doc_id", "clean_text")
+    return lines.strip_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "clean_text")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest.near_join(spread(table(spark, sf_dir, "chunks"))).select("chunk_a", "chunk_b")
+    return forest.near_join(table(spark, sf_dir, "chunks")).select("chunk_a", "chunk_b")
 
 
 def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Queries: the vectors of documents whose doc_id is divisible by 100; rows: all usable vectors."""
-    chunks = spread(table(spark, sf_dir, "chunks"))
+    chunks = table(spark, sf_dir, "chunks")
     rows = cut(forest.vectors(chunks).dropDuplicates(["id"]))
     return cut(rows.join(chunks.filter("doc_id % 100 = 0").select("id").distinct(), "id", "left_semi")), rows
 
@@ -68,9 +68,18 @@ def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.recall(*_searched(spark, sf_dir))
 
 
+def p5_join_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: of the pairs that the stated queries make by brute force, how many the join has."""
+    queries_, rows = _searched(spark, sf_dir)
+    exact = forest.search(queries_, rows, exact=True).filter("similarity >= 0.95 - 1e-7")
+    true = exact.select(F.least("query", "found").alias("chunk_a"), F.greatest("query", "found").alias("chunk_b")).distinct()
+    met = true.join(p5_found(spark, sf_dir).withColumn("hit", F.lit(1)), ["chunk_a", "chunk_b"], "left")
+    return met.agg(F.count("*").alias("n_pairs"), F.count("hit").alias("n_found"))
+
+
 def _pages(spark: SparkSession, sf_dir: str, website_only: bool) -> tuple[DataFrame, DataFrame]:
     """The documents, and their labelled lines."""
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     docs = docs.filter("kind = 'website'") if website_only else docs
     return docs, cut(pages.label_lines(cut(pages.page_lines(docs, website_only=website_only))))
 
@@ -102,7 +111,7 @@ def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = table(spark, sf_dir, "ref_values")
     parts = [
-        canonical.map_values(spread(table(spark, sf_dir, "log_entries")), refs, FIELDS),
+        canonical.map_values(table(spark, sf_dir, "log_entries"), refs, FIELDS),
         canonical.map_values(table(spark, sf_dir, "properties"), refs, {"properties.city": "city"}),
         canonical.map_values(table(spark, sf_dir, "accounts"), refs, {"accounts.neighborhood": "neighborhood"}),
     ]
@@ -118,7 +127,7 @@ def p7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.pack(tokens.count_tokens(spread(table(spark, sf_dir, "documents"))))
+    return pack.pack(tokens.count_tokens(table(spark, sf_dir, "documents")))
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +135,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(tokens.count_tokens(spread(table(spark, sf_dir, "documents")), keep=("doc_id", "source", "kind", "lang")))
+    return cut(tokens.count_tokens(table(spark, sf_dir, "documents"), keep=("doc_id", "source", "kind", "lang")))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,38 @@ def test_crowds_are_whole(spark):
     assert len(want) > 3000 and len(got & want) >= 0.999 * len(want) and len(got - want) <= 0.001 * len(want)
 
 
+def test_dense_cluster(spark):
+    # half of the rows in one cluster of 3,000
+    r = np.random.default_rng(5)
+    vecs = np.concatenate((r.standard_normal((3000, 64)), r.standard_normal(64) + 0.13 * r.standard_normal((3000, 64)))).astype(np.float32)
+    got = {(p.chunk_a, p.chunk_b) for p in forest.near_join(chunks(spark, vecs)).collect()}
+    want = brute(vecs, 5, 0.95)
+    assert len(want) > 8000 and len(got & want) >= 0.999 * len(want) and len(got - want) <= 0.001 * len(want)
+
+
+def test_profile():
+    r = np.random.default_rng(6)
+    keys = np.sort(r.integers(0, 2**10, 300, dtype=np.uint64) << np.uint64(54))
+    m = np.zeros((300, 4), np.int64)
+    m[:, 3] = keys.view(np.int64)
+    m[200:, 2] = 1
+    got = forest.profile(forest.common_prefix(m), 4)
+    for i in range(300):
+        mine = keys[:200] if i < 200 else keys[200:]
+        for j in range(4):
+            shared = [d for d in range(65) if sum((int(k) ^ int(keys[i])).bit_length() <= 64 - d for k in mine) >= 2 ** (j + 1)]
+            assert got[i, j] == max(shared, default=0)
+
+
+def test_strings_that_nothing_tells_apart(spark):
+    # all in one bucket of every tree, unequal by rounding: more than a bucket may show
+    r = np.random.default_rng(7)
+    vecs = (r.standard_normal(16) + 4e-4 * r.standard_normal((3000, 16))).astype(np.float32)
+    got = {(p.chunk_a, p.chunk_b) for p in forest.near_join(chunks(spark, vecs)).collect()}
+    # cosines within 1e-6 of each other: single-precision units fall on either side of the sixth place
+    assert len(got) > 12000 and len(got & brute(vecs, 5, 0.95)) >= 0.97 * len(got)
+
+
 def test_crowd_in_blocks(spark):
     r = np.random.default_rng(3)
     vecs = (r.standard_normal(16) + 0.2 * r.standard_normal((300, 16))).astype(np.float32)
