@@ -34,12 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan over at least as many partitions as there are cores. Small files make few partitions; a large input is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint directory: the one already set, else spark.checkpoint.dir, else (local masters only) a temporary one.
 
