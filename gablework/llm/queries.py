@@ -77,35 +77,47 @@ def p5_join_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.agg(F.count("*").alias("n_pairs"), F.count("hit").alias("n_found"))
 
 
-def _pages(spark: SparkSession, sf_dir: str, website_only: bool) -> tuple[DataFrame, DataFrame]:
-    """The documents, and their labelled lines."""
-    docs = table(spark, sf_dir, "documents")
-    docs = docs.filter("kind = 'website'") if website_only else docs
-    return docs, cut(pages.label_lines(cut(pages.page_lines(docs, website_only=website_only))))
-
-
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, lines_ = _pages(spark, sf_dir, True)
+    docs = table(spark, sf_dir, "documents").filter("kind = 'website'")
+    lines_ = pages.label_lines(docs)
     gone = residue.residue_documents(docs, lines_)
     return lines_.filter(~F.col("article")).join(gone, "doc_id", "left_anti").select("doc_id", "line_no")
 
 
 def p6_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, lines_ = _pages(spark, sf_dir, True)
-    kept = lines_.filter("article").groupBy("doc_id").agg(F.collect_set("line_no").alias("kept"))
+    docs = table(spark, sf_dir, "documents").filter("kind = 'website'")
+    kept = pages.label_lines(docs).filter("article").groupBy("doc_id").agg(F.collect_set("line_no").alias("kept"))
     body = F.filter(F.split("text", "\n"), lambda x, i: F.array_contains("kept", i.cast("int")))
     return docs.join(kept, "doc_id").select("doc_id", F.array_join(body, "\n").alias("article"))
 
 
+def p6_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines each vote decides: templates, containers, and line paths against what the page alone says."""
+    lines_ = pages.label_lines(table(spark, sf_dir, "documents"))
+    by = F.when(F.col("role") == "common", "template").when(F.col("place") == "out", "container").when(F.col("alone") != F.col("article"), "path").otherwise("page")
+    return lines_.groupBy(by.alias("decided_by"), "article").agg(F.count("*").alias("n_lines"))
+
+
+def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return residue.residue_documents(docs, pages.label_lines(docs, website_only=False))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.residue_documents(*_pages(spark, sf_dir, False))
+    return _residue(spark, sf_dir).select("doc_id")
+
+
+def p10_grounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents were found by their fields, by a trusted label of their own and through a class."""
+    return _residue(spark, sf_dir).groupBy("how").agg(F.count("*").alias("n_docs"))
 
 
 def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document that is made of units: its units' least class and how many classes they fall into."""
-    _, lines_ = _pages(spark, sf_dir, False)
-    units = lines_.filter("unit is not null").join(residue.unit_classes(lines_), "unit")
-    return units.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.countDistinct("class_id").alias("n_classes"), F.max(F.col("residue").cast("int")).alias("residue"))
+    """One row a document that is made of units: its units' class, how many classes of near-duplicates they fall into, and the label."""
+    docs = table(spark, sf_dir, "documents")
+    units = cut(residue.content_units(pages.label_lines(docs, website_only=False)))
+    named = units.join(residue.unit_classes(units, docs.select("doc_id", "title")), "unit")
+    return named.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.countDistinct("near_id").alias("n_classes"), F.max(F.col("residue").cast("int")).alias("residue"))
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:

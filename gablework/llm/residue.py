@@ -1,11 +1,15 @@
 """Problem 10: documents with template residue, filler or messages in place of content.
 
-Two kinds of evidence are trusted: fields of a template that stand in a text's own words (not those it merely mentions), and
-labelled messages (errors, access, scripts, filler). Pages without a paragraph of ordinary prose are taken apart into units, the lines that
-are left after the host's furniture; units are put into partitioned SimHash tables, and pairs within the Hamming distance that share a table's
-key are candidates. Similar units can be farther apart in SimHash, so units that share one of their rarest shingles are candidates too:
-with as many of the rarest as the similarity leaves room to miss, and one more, no similar pair is lost. All candidates are verified by
-similarity of their five-word shingles, and the trusted labels spread through the connected components. A document is residue if it has fields, or if it has a residue unit and no unit of content.
+Fields of a template that stand in a text's own words (not those it merely mentions) make a document a case by themselves. All else is found
+from near-duplicates: documents without a paragraph of ordinary prose are taken apart into units, the normalised lines that are left
+after their host's furniture. Units go into partitioned SimHash tables; pairs within the Hamming distance that share a table's key are
+candidates. Similar units can be farther apart in SimHash, so units that share one of their rarest shingles are candidates too: with as many of
+the rarest as the similarity leaves room to miss, and one more, no similar pair is lost. All candidates are verified by similarity of
+their five-word shingles. Units that stand in one document are linked as well: a page without content is made of messages.
+
+Labels are trusted on three grounds: a small labelled table of messages (SEEDS), which take part as units; filler, told by its form; and a class of
+near-duplicates that is the whole content of documents with several titles (one text can't be about them all). They spread through the connected
+components. A document is residue if it has fields, or if it has a labelled unit and no other content.
 
 Null and empty texts are no case (there is nothing to leave out of them). Copies have equal results, one row each.
 """
@@ -43,18 +47,13 @@ _MENTION_AFTER = re.compile(r"(?i)^[\"'”’»]?,?\s*(?:(?:still )?(?:printed|w
 #: Annotations and marks of transcripts, which are no fields.
 _NOT_FIELD = re.compile(r"(?i)^[\[<{(]+(?:music|inaudible|applause|laughs?|laughter|risas|m[uú]sica|aplausos|crosstalk|host|sic|v |i|b|p|br|em|strong|div|span|\w|edit|video|image|photo)\b")
 
-#: The labelled table of messages, in normalised words (numbers and codes left out), and of filler.
-_MESSAGE = re.compile(
-    r"\berror\b.*\b(?:server|ocurrió|occurred|request|database|servidor|page)|\b(?:page|página|file|guide|document|listing|url|site)\b.*\b(?:not found|no encontrada|moved|never existed|does not exist|no existe|could not be found|cannot be found)|can ?t find (?:that|the|this)|cannot find|no longer (?:available|exists)"
-    r"|\b(?:access|acceso|permission)\b.*\b(?:denied|denegado|refused)|^forbidden|^unauthori[sz]ed|do not have permission|not authori[sz]ed|no tiene permiso|bad gateway|gateway timeout|service (?:temporarily )?unavailable|servicio no disponible|too many requests|rate limit|try again (?:in|later)|intente (?:en|de nuevo|más tarde)"
-    r"|link has expired|enlace (?:ya no existe|ha caducado)|session (?:has )?(?:timed out|expired)|sesión (?:ha )?(?:expirado|caducado)|sign in again|database connection|\btraceback\b|\bexception\b|stack trace|undefined (?:index|variable|offset)|null ?pointer|fatal error|syntax error|on line$|something (?:broke|went wrong)|lo sentimos|\boops\b|internal server|return to the front page|volver a la portada"
-    r"|\bjavascript\b|\bscripts\b|browser is (?:out of date|not supported)|navegador no|your browser|verify you are human|checking your browser|not a robot|captcha|enable cookies|security check|request id$|^ray\b|verifique que|loading$|^cargando$|^loading|please wait|coming soon|próximamente|under construction|en construcción|maintenance mode|site is down"
-    r"|(?:captions?|subtitles?|transcript(?:ion)?|subtítulos|transcripción)\b.*\b(?:disabled|unavailable|could not|not available|no disponible|returned|failed|desactivad)|no se pudo obtener|could not be (?:fetched|loaded|retrieved)|failed to (?:load|fetch)|no content|contenido no disponible"
-)
-_FILLER = re.compile(
-    r"\blorem\b.*\b(?:ipsum|dolor)|\bipsum\b.*\b(?:dolor|lorem|amet)|lorem ipsum|placeholder|texto de ejemplo|text goes here|texto aquí|headline here|titular aquí|sample (?:heading|text|copy|title)|dummy text|replace this (?:paragraph|text)|cambiar antes de publicar|before publishing"
-    r"|todo write|write this section|to be written|insert (?:text|copy|content) here|^(?:test\s*){2,}|(?:asdf|qwer|xxx|foo bar|blah)\b.*\b(?:asdf|qwer|xx|foo|blah)|^(?:null|none|undefined|nan|n a|tbd|tba|xxx+)(?: (?:null|none|undefined|nan|n a|tbd|tba|xx+))*$|^\W*$"
+#: The labelled table: common messages of web servers, portals and editors, as units (lower case, without numbers and marks).
+SEEDS = (
+    "page not found", "internal server error", "access denied", "forbidden", "bad gateway", "service unavailable", "too many requests", "please enable javascript to continue", "lorem ipsum dolor sit amet",
+    "lorem ipsum", "coming soon", "under construction", "loading", "acceso denegado", "página no encontrada", "transcript unavailable", "no transcript available", "undefined", "null",
 )
+#: Titles under which one class must be the whole content.
+TITLES = 3
 
 
 def has_fields(text: str, website: bool = True) -> bool:
@@ -75,13 +74,12 @@ def has_fields(text: str, website: bool = True) -> bool:
 
 
 def trusted(unit: str) -> bool:
-    """Whether a unit is a labelled message or filler."""
-    if _FILLER.search(unit):
-        return True
+    """Whether a unit's form makes it filler: words repeated without end, or a run of words of which none builds sentences."""
     words = unit.split()
-    if len(words) <= 16 and _MESSAGE.search(unit):
+    if len(words) >= 2 and len(set(words)) * 2 <= len(words) and not any(w in pages.FUNCTION_WORDS for w in words):
+        return True
+    if words and all(len(set(w)) == 1 and len(w) > 1 for w in words):
         return True
-    # prose without a single word that sentences are built with
     return len(words) >= 6 and not any(w in pages.FUNCTION_WORDS for w in words) and len(set(words)) < 40 and _latin(words)
 
 
@@ -126,13 +124,13 @@ def hashed_units(units: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
+            texts, seeds = b.column(0).to_pylist(), set(SEEDS)
             ids = [xxhash.xxh64_intdigest(u) - (1 << 63) for u in texts]
             sims = [simhash(u) for u in texts]
             keys = pa.array([table_keys(x) for x in sims], pa.list_(pa.int64()))
             grams = pa.array([[xxhash.xxh64_intdigest(g) - (1 << 63) for g in shingles(u)] for u in texts], pa.list_(pa.int64()))
             signed = pa.array([x - (1 << 64) if x >> 63 else x for x in sims], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array([trusted(u) for u in texts], pa.bool_()), signed, keys, grams], names=["unit_id", "unit", "trusted", "sim", "keys", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array([u in seeds or trusted(u) for u in texts], pa.bool_()), signed, keys, grams], names=["unit_id", "unit", "trusted", "sim", "keys", "grams"])
 
     return units.select("unit").distinct().mapInArrow(run, "unit_id long, unit string, trusted boolean, sim long, keys array<long>, grams array<long>")
 
@@ -185,20 +183,48 @@ def field_documents(docs: DataFrame) -> DataFrame:
     return marked.select("doc_id", "text", "kind").mapInArrow(run, "doc_id long").distinct()
 
 
-def unit_classes(lines: DataFrame) -> DataFrame:
-    """(unit, class_id, residue) of the distinct units of page lines; residue: a trusted label in its component."""
-    hashed = cut(hashed_units(lines.filter("unit is not null")))
-    classes = components(near_pairs(hashed))
-    joined = hashed.join(classes, hashed.unit_id == classes.node, "left").select("unit", "trusted", F.coalesce("class_id", "unit_id").alias("class_id"))
-    spread = joined.groupBy("class_id").agg(F.max("trusted").alias("residue"))
-    return joined.join(spread, "class_id").select("unit", "class_id", "residue")
+def content_units(lines: DataFrame) -> DataFrame:
+    """(doc_id, unit, prose: whether it reads like content) of documents without prose, after the furniture of their hosts; lines: pages.label_lines."""
+    left = F.col("bare") & ((F.col("role").isin("para", "sentence", "phrase", "short") & (F.col("place") != "out")) | (F.col("role") == "shared")) & (F.col("unit") != "")
+    return lines.filter(left).groupBy("doc_id", "unit").agg(F.max(F.col("role").isin("para", "sentence")).alias("prose"))
 
 
-def residue_documents(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id) of the cases among docs; lines: their labelled lines (pages.label_lines), of recordings too."""
-    classes = cut(unit_classes(lines))
-    judged = lines.filter("unit is not null").join(classes, "unit")
-    furniture = F.col("role").isin("teaser", "trail", "byline", "tags", "next", "comment", "legal", "letter", "share", "advert")
-    content = F.col("role").isin("para", "item", "line") & F.col("article") & ~F.col("residue")
-    by = judged.groupBy("doc_id").agg(F.max((F.col("residue") & ~furniture).cast("int")).alias("bad"), F.max(content.cast("int")).alias("good"))
-    return by.filter("bad = 1 and good = 0").select("doc_id").union(field_documents(docs)).distinct()
+def unit_classes(units: DataFrame, titles: DataFrame, *, least_titles: int = TITLES) -> DataFrame:
+    """(unit, class_id, near_id, seeded, spread, residue) of distinct units of content_units; titles: (doc_id, title).
+
+    near_id: component of near-duplicates; class_id: of these and of classes that stand in one document. A class without a trusted label under one title
+    only has no part in the latter, because it may be that document's content. seeded: whether the unit's own label is trusted; spread: whether its class is the whole of
+    documents of several titles; residue: whether there is either in its component.
+    """
+    seeds = units.sparkSession.createDataFrame([(x,) for x in SEEDS], "unit string")
+    hashed = cut(hashed_units(units.select("unit").union(seeds)))
+    near = components(near_pairs(hashed))
+    named = cut(hashed.select("unit", "unit_id", "trusted").join(near, F.col("unit_id") == near.node, "left").select("unit", "trusted", F.coalesce("class_id", "unit_id").alias("near_id")))
+    of_docs = cut(units.join(named, "unit").join(titles, "doc_id").select("doc_id", "title", "near_id").distinct())
+    several = of_docs.groupBy("near_id").agg(F.countDistinct("title").alias("titles")).filter("titles > 1").select("near_id").union(named.filter("trusted").select("near_id")).distinct()
+    whole = of_docs.groupBy("doc_id", "title").agg(F.min("near_id").alias("near_id"), F.max("near_id").alias("other")).filter("near_id = other")
+    spread = whole.groupBy("near_id").agg(F.countDistinct("title").alias("titles")).filter(F.col("titles") >= least_titles).select("near_id", F.lit(True).alias("spread"))
+    # a star a document, from its least class; equal stars collapse, so a message in a third of all documents is no hot node
+    linked = cut(of_docs.join(several, "near_id", "left_semi").select("doc_id", "near_id"))
+    least = linked.groupBy("doc_id").agg(F.min("near_id").alias("a"))
+    star = linked.join(least, "doc_id").filter("a <> near_id").select("a", F.col("near_id").alias("b")).distinct()
+    joined = components(star).withColumnRenamed("node", "near_id")
+    labelled = named.join(spread, "near_id", "left").join(joined, "near_id", "left")
+    labelled = cut(labelled.select("unit", "near_id", F.col("trusted").alias("seeded"), F.coalesce("spread", F.lit(False)).alias("spread"), F.coalesce("class_id", "near_id").alias("class_id")))
+    labels = cut(labelled.groupBy("class_id").agg(F.max(F.col("seeded") | F.col("spread")).alias("residue")))
+    return join_sized(labelled, labels, ["class_id"], salt=F.xxhash64("unit")).select("unit", "class_id", "near_id", "seeded", "spread", "residue")
+
+
+def residue_documents(docs: DataFrame, lines: DataFrame, *, least_titles: int = TITLES) -> DataFrame:
+    """(doc_id, how) of the cases among docs; lines: their labelled lines (pages.label_lines), of recordings too.
+
+    how: `field`; `seed` if a unit's own label is trusted; `spread` if a class of near-duplicates is the content of several titles; `component` if the
+    label came from other units. A document that has items or prose beside, without a label, is content.
+    """
+    units = cut(content_units(lines))
+    classes = cut(unit_classes(units, docs.select("doc_id", "title"), least_titles=least_titles))
+    judged = units.join(classes, "unit").groupBy("doc_id").agg(*(F.max(c).alias(c) for c in ("residue", "seeded", "spread")), F.max(F.col("prose") & ~F.col("residue")).alias("content"))
+    items = lines.filter("bare and role = 'item' and article").select("doc_id").distinct()
+    how = F.when(F.col("seeded"), "seed").when(F.col("spread"), "spread").otherwise("component")
+    found = judged.filter("residue and not content").join(items, "doc_id", "left_anti").select("doc_id", how.alias("how"))
+    return field_documents(docs).withColumn("how", F.lit("field")).unionByName(found).groupBy("doc_id").agg(F.max_by("how", F.col("how") == "field").alias("how"))
