@@ -34,7 +34,7 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns.speaker_turns(table(spark, sf_dir, "documents"), text=False).select("doc_id", "start_ms", "speaker").distinct()
+    return turns.speaker_turns(table(spark, sf_dir, "documents")).select("doc_id", "start_ms", "speaker").distinct()
 
 
 def p3_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Problem 3: transcripts into clean, ordered speaker turns.
 
 A transcript is read as timed segments (JSON of several shapes, else stamped cues in the text), put in time order, with repeated
-copies dropped. Wherever something may be a speaker's label or a mark of change, boosted trees decide from the label's form, how
-well it names a speaker, the gap before it and its context whether the speaker changes there. Labels are normalised to the
-document's speakers; annotations are dropped, and a token-level decision drops fillers.
+copies dropped. Boosted trees decide at every pair of adjacent segments, and wherever something within one may be a label or a mark of change,
+whether the speaker changes there: from the form of what stands there, how its words compare with the names (none of the comparisons
+decides by itself), the gap before it and its context. Labels are then normalised to the document's speakers. Annotations are dropped. Words that can
+be fillers are told from the same words in earnest by a second set of trees, token by token, from the word, its marks and its neighbours.
 
 Documents without speakers, segments and stamps give no turn, as do error messages in place of a transcript. Null texts and JSON
 that can't be read count as missing. Speech before any label is the host's. Repeated rows give repeated turns.
@@ -15,7 +16,7 @@ import json
 import random
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,13 +27,16 @@ from pyspark.sql import functions as F
 
 from .canonical import edits
 from .gbdt import Boosted
+from .pages import FUNCTION_WORDS
 from .pii_labels import Filler
 
 #: Labelled transcripts from which the trees are trained on the driver.
-TRAIN_TRANSCRIPTS = 120
+TRAIN_TRANSCRIPTS = 240
+#: Labelled sentences from which the trees for fillers are trained.
+TRAIN_SENTENCES = 6000
 
-#: Fillers, English and Spanish.
-FILLERS = ("you know", "i mean", "o sea", "um", "umm", "uh", "uhm", "er", "erm", "ah", "eh", "mm", "hmm", "mhm", "like", "este", "pues")
+#: Words that can be fillers, English and Spanish; the first six only in part.
+FILLERS = ("you know", "i mean", "o sea", "like", "este", "pues", "um", "umm", "uh", "uhm", "er", "erm", "ah", "eh", "mm", "hmm", "mhm")
 _FILLER = re.compile(r"(?i)(?<![\w'’-])(?:" + "|".join(f.replace(" ", r"\s+") for f in FILLERS) + r")(?![\w'’-]),?")
 _ANNOTATION = re.compile(r"\[[^\]\n]{0,60}\]|\([^()\n\d]{1,60}\)|\*[^*\n]{1,40}\*|<[^<>\n]{1,60}>|[♪♫]+")
 _WORD = re.compile(r"[^\W_]")
@@ -103,6 +107,23 @@ class Speakers:
         self.names = names
         self.parts = [fold(n) for n in names]
         self.memo: dict[str, tuple[float, int]] = {}
+        self.compared: dict[str, tuple[int, ...]] = {}
+
+    def compare(self, label: str) -> tuple[int, ...]:
+        """How the words of a label compare with the names, each by itself: speakers that have the first word, the last, one nearly, by an initial; the host's word; all words a name."""
+        got = self.compared.get(label)
+        if got is None:
+            w = fold(label)
+            if not w or len(w) > 5:
+                got = (0,) * 6
+            else:
+                parts = [p for p in self.parts if p]
+                got = (
+                    sum(w[0] in p for p in parts), sum(w[-1] in p for p in parts), sum(near(w[0], q) or near(w[-1], q) for p in parts for q in (p[0], p[-1])),
+                    sum(len(w[0]) == 1 and w[0] == p[0][:1] or len(w[-1]) == 1 and w[-1] == p[-1][:1] for p in parts), int(w[0] in _HOST), sum(w == p for p in parts),
+                )
+            self.compared[label] = got
+        return got
 
     def match(self, label: str) -> tuple[float, int]:
         """How well a label names a speaker (0 to 1), and which; a label that fits two equally is worth less."""
@@ -140,7 +161,9 @@ class Speakers:
         return (best[0] - 0.25 if tie else best[0]), -best[1]
 
 
-FORMS = ("arrows", "voice", "square", "round", "colon", "dash")
+ARTICLES = frozenset("a an the el la los las un una unos unas".split())
+FORMS = ("arrows", "voice", "square", "round", "colon", "dash", "none")
+NONE = (0,) * 6
 
 
 class Transcript:
@@ -154,7 +177,13 @@ class Transcript:
             at += len(said) + 1
         self.text, self.ms = " ".join(parts), [ms for ms, _ in segs]
         self.who = Speakers(speakers)
-        self.marks = [c for m in _MARK.finditer(self.text) if (c := self._mark(m))]
+        found = [c for m in _MARK.finditer(self.text) if (c := self._mark(m))]
+        # adjacent segments with nothing between them are decided on as well
+        begun = {self.starts[self.segment(c[0])] for c in found if c[0] - self.starts[self.segment(c[0])] < 3}
+        bare = [(at, at, 6, 0.0, -1, 0) for at in self.starts[1:] if at not in begun]
+        self.marks = sorted(found + bare, key=lambda c: c[0])
+        self.loose = [(m.start(), m.end()) for m in _FILLER.finditer(self.text)]
+        self.drop: dict[int, int] = dict(self.loose)
 
     def segment(self, at: int) -> int:
         return max(0, bisect_right(self.starts, at) - 1)
@@ -185,22 +214,42 @@ class Transcript:
         return best[2], m.end(), form, best[0], best[1], best[3]
 
     def features(self) -> np.ndarray:
+        """Of every place: form, words, place in the segment, gap, context, and the comparisons of the label's words with the names."""
         out, text = [], self.text
         prev_end = -1
+        ended = sum(text[at - 2 : at - 1] in ".!?" for at in self.starts[1:]) / max(1, len(self.starts) - 1)  # how far the transcript has marks at all
+        labelled = sum(m[2] < 6 and m[3] > 0 for m in self.marks) / len(self.starts)
         for a, b, form, quality, _, words in self.marks:
             k = self.segment(a)
             label = text[a:b]
             lead = text[max(0, a - 3) : a].rstrip()
             gap = (self.ms[k] - self.ms[k - 1]) / 1000 if k else 0.0
             tail = text[b : b + 2].lstrip()
+            same = self.who.compare(label.strip("[]()<>:-–— \tv")) if form not in (0, 6) else NONE
+            out.append(
+                (
+                    form, words, a == self.starts[k], min(gap, 30.0), not lead or lead[-1] in ".!?…", lead[-2:] == ">>", lead[-1:] in ("-", "–"), label[:1].isupper(),
+                    label.isupper(), tail[:1].isupper(), len(self.who.names), a - prev_end < 3, len(label), ended, labelled, *same,
+                )
+            )
+            prev_end = b if form != 6 else prev_end
+        return np.array(out, np.float64).reshape(len(out), 21)
+
+    def filler_features(self) -> np.ndarray:
+        """Of every word that can be a filler: which, its marks, and its neighbours."""
+        out, text, last = [], self.text, -9
+        for i, (a, b) in enumerate(self.loose):
+            said = text[a:b]
+            before, after = text[max(0, a - 24) : a].split(), text[b : b + 24].split()
+            prev, nxt = (before[-1] if before else ""), (after[0] if after else "")
             out.append(
                 (
-                    form, quality, words, a == self.starts[k], min(gap, 30.0), not lead or lead[-1] in ".!?…", lead[-2:] == ">>", lead[-1:] in ("-", "–"), label[:1].isupper(),
-                    label.isupper(), tail[:1].isupper(), len(self.who.names), a - prev_end < 3, len(label),
+                    FILLERS.index(" ".join(said.lower().rstrip(",").split())), said.endswith(","), prev[-1:] == ",", not prev or prev[-1] in ".!?…:>)]", said[:1].isupper(), prev.lower().strip(",.") in FUNCTION_WORDS, prev.lower() in ARTICLES,
+                    nxt.lower().strip(",.") in FUNCTION_WORDS, a - last < 3, i + 1 < len(self.loose) and self.loose[i + 1][0] - b < 3, a == self.starts[self.segment(a)], nxt[:1].isupper(), not nxt or nxt[0] in ".,;",
                 )
             )
-            prev_end = b
-        return np.array(out, np.float64).reshape(len(out), 14)
+            last = b
+        return np.array(out, np.float64).reshape(len(out), 13)
 
 
 def synthetic(count: int, seed: int) -> list[tuple[Transcript, list[bool]]]:
@@ -223,9 +272,11 @@ def synthetic(count: int, seed: int) -> list[tuple[Transcript, list[bool]]]:
                 k = r.random()
                 if k < 0.25:
                     p = r.choice(["Note: ", "Step two: ", "Quick question: ", "so bottom line: ", "Here's the thing: ", f"{f.word().lower()} {f.word().lower()}: ", f"{f.word()}: "]) + p
+                elif k < 0.33 and full:  # told of somebody, in a text that has marks
+                    p += " and " + r.choice(["I told", "he said to", "we asked", "then came", "so I wrote to", "thanks to"]) + f" {r.choice(names).split()[r.choice([0, -1])]}" + r.choice([": ", ": ", " - "]) + f.prose().lower()
                 elif k < 0.4:
                     p += r.choice([" (laughs)", " [music]", " *door slams*", " [Applause]", f" as {r.choice(names).split()[0]} said", f" {f.word().lower()} - {f.word().lower()}", f" {r.choice(names).split()[0]} and {f.word()}"])
-                said.append(p + ("." if full else ""))
+                said.append(p + ("." if full and r.random() < 0.9 else ""))
             words = " ".join(said)
             cut = r.random() < 0.7
             pieces = [label + " " + words] if cut or not segs else []
@@ -237,12 +288,50 @@ def synthetic(count: int, seed: int) -> list[tuple[Transcript, list[bool]]]:
             else:
                 base = 0
             truth.add(at + base + len(label))
+            if r.random() < 0.2:  # read matter between, with marks in any transcript
+                pieces.append(f"{f.word()} {f.prose().lower()}.")
             for p in pieces:
                 segs.append((ms, p))
                 at += len(p) + 1
                 ms += r.randint(1500, 9000)
         t = Transcript(segs, names)
-        out.append((t, [m[2] == 0 or m[1] in truth for m in t.marks]))
+        out.append((t, [m[2] == 0 or m[2] < 6 and m[1] in truth for m in t.marks]))
+    return out
+
+
+def synthetic_fillers(count: int, seed: int) -> list[tuple[Transcript, list[bool]]]:
+    """Labelled sentences of invented words: of each word that can be a filler, whether it is one."""
+    r, f = random.Random(seed), Filler(seed)
+    earnest = (
+        "it looked like {w} {w}|it was nothing like the {w} {w}|Like every {w} it {w}|de este {w} y {w}|en este {w} y en {c} {w}|Este {w} {w} fue de la {w}|por este {w} {w}|do you know {w} or {w}|"
+        "what I mean is {w}|did I mean {w}|that feels like a {w}|would like to {w} it|Did you know {w} then"
+    ).split("|")
+    common = "the a of to and for in on with is was el la de un y en que por se".split()
+    out = []
+    for _ in range(count):
+        k = r.random()
+        words = f.prose().split()
+        if r.random() < 0.5:
+            words = " ".join(words).lower().split()
+        marks: list[str] = list(words)
+        if k < 0.85:
+            for _n in range(r.choice([1, 1, 2])):
+                at = r.randint(0, len(marks))
+                x = r.choice(FILLERS).replace("i mean", "I mean")
+                if r.random() < 0.1 and at == 0:
+                    x = x.capitalize()
+                marks.insert(at, "\0" + x + r.choice(["", "", ","] if x in ("um", "uh") or r.random() < 0.4 else [""]) if not x[0].isupper() or x == "I mean" else "\0" + x + ",")
+        else:
+            said = re.sub(r"\{(\w)\}", lambda m: r.choice(common) if m.group(1) == "c" else f.word(1, 3).lower(), r.choice(earnest))
+            marks = (marks[: r.randint(0, 3)] if not said[0].isupper() else []) + said.split() + marks[:4]
+        text, at, truth = "", 0, set()
+        for w in marks:
+            if w[0] == "\0":
+                truth.add(len(text))
+                w = w[1:]
+            text += w + " "
+        t = Transcript([(0, text.strip() + r.choice(["", "."]))], ["A B"])
+        out.append((t, [a in truth for a, _ in t.loose]))
     return out
 
 
@@ -254,9 +343,17 @@ def trained(count: int = TRAIN_TRANSCRIPTS, seed: int = 21) -> Boosted:
     return Boosted().fit(x, y)
 
 
-def first_word(text: str, lo: int, hi: int) -> int:
-    """Where the first word of speech in text[lo:hi] begins, or -1."""
-    at = lo
+@cache
+def trained_fillers(count: int = TRAIN_SENTENCES, seed: int = 22) -> Boosted:
+    table = synthetic_fillers(count, seed)
+    x = np.concatenate([t.filler_features() for t, _ in table])
+    y = np.concatenate([np.array(truth, bool) for _, truth in table])
+    return Boosted(bins=32).fit(x, y)
+
+
+def first_word(t: Transcript, lo: int, hi: int) -> int:
+    """Where the first word of speech in the transcript's text[lo:hi] begins, or -1."""
+    at, text = lo, t.text
     while at < hi:
         m = _WORD.search(text, at, hi)
         if not m:
@@ -266,17 +363,24 @@ def first_word(text: str, lo: int, hi: int) -> int:
         if note and note.start() < m.start():
             at = note.end()
             continue
-        fill = _FILLER.match(text, m.start(), hi)
-        if fill and not (fill.group()[:1].isupper() and fill.group().lower().rstrip(",") in ("este", "like") and not fill.group().endswith(",")):
-            at = fill.end()
-            continue
-        return m.start()
+        end = t.drop.get(m.start(), 0)
+        if not end or end > hi:
+            return m.start()
+        at = end
     return -1
 
 
-def clean(text: str) -> str:
-    """Speech without annotations and fillers."""
-    out = _FILLER.sub(" ", _ANNOTATION.sub(" ", text.replace(">>", " ")))
+def clean(t: Transcript, lo: int, hi: int) -> str:
+    """Speech in text[lo:hi] without annotations and fillers."""
+    parts, at = [], lo
+    for a, b in t.loose[bisect_left(t.loose, (lo, 0)) :]:
+        if b > hi:
+            break
+        if a in t.drop:
+            parts.append(t.text[at:a])
+            at = b
+    parts.append(t.text[at:hi])
+    out = _ANNOTATION.sub(" ", " ".join(parts).replace(">>", " "))
     return re.sub(r"\s+([,.;:!?])", r"\1", " ".join(out.split())).strip(" -–—,")
 
 
@@ -289,7 +393,7 @@ def turns(t: Transcript, keep: np.ndarray, text: bool = True) -> list[tuple[int,
     spans: list[tuple[int, int, int | None]] = []  # start, end, what a mark before the span asks for
     ask: int | None = None
     for (a, b, form, _, who, _), k in stops:
-        if not k or a < at:
+        if not k or a < at or form == 6:  # a change that nothing names goes on with the present speaker
             continue
         spans.append((at, a, ask))
         at, ask = b, (-2 if form == 0 else who)
@@ -302,7 +406,7 @@ def turns(t: Transcript, keep: np.ndarray, text: bool = True) -> list[tuple[int,
                 pending = (1 - speaker if speaker >= 0 else pending) if two else pending
             else:
                 pending = want
-        w = first_word(t.text, lo, hi)
+        w = first_word(t, lo, hi)
         if w < 0:
             continue
         now = pending if pending >= 0 else speaker if speaker >= 0 else 0
@@ -310,8 +414,8 @@ def turns(t: Transcript, keep: np.ndarray, text: bool = True) -> list[tuple[int,
         if now != speaker or not runs:
             runs.append([now, t.ms[t.segment(w)], []])
             speaker = now
-        runs[-1][2].append(t.text[lo:hi])
-    return [(ms, t.who.names[who], clean(" ".join(said)) if text else None) for who, ms, said in runs]
+        runs[-1][2].append((lo, hi))
+    return [(ms, t.who.names[who], " ".join(clean(t, *x) for x in said) if text else None) for who, ms, said in runs]
 
 
 _SCHEMA = "doc_id long, turn_no int, start_ms long, speaker string, text string"
@@ -320,10 +424,10 @@ _SCHEMA = "doc_id long, turn_no int, start_ms long, speaker string, text string"
 def speaker_turns(docs: DataFrame, *, transcripts: int = TRAIN_TRANSCRIPTS, text: bool = True) -> DataFrame:
     """Turns of the recordings among docs (doc_id, kind, text, segments_json, speakers); without text, text is null."""
     docs = docs.filter("kind <> 'website' and size(speakers) > 0").select("doc_id", "text", "segments_json", "speakers")
-    shared = docs.sparkSession.sparkContext.broadcast(trained(transcripts))  # a few kB
+    shared = docs.sparkSession.sparkContext.broadcast((trained(transcripts), trained_fillers()))  # some 100 kB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
+        trees, filler_trees = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 b = whole.slice(lo, 500)
@@ -336,6 +440,12 @@ def speaker_turns(docs: DataFrame, *, transcripts: int = TRAIN_TRANSCRIPTS, text
                         read.append(Transcript(segs, names))
                 x = [t.features() for t in read]
                 p = trees.predict(np.concatenate(x)) > 0.5 if x else np.zeros(0, bool)
+                x = [t.filler_features() for t in read]
+                filler = filler_trees.predict(np.concatenate(x)) > 0.5 if x else np.zeros(0, bool)
+                at = 0
+                for t in read:
+                    t.drop = {a: e for (a, e), yes in zip(t.loose, filler[at : at + len(t.loose)], strict=True) if yes}
+                    at += len(t.loose)
                 at, rows = 0, []
                 for i, t in zip(ids, read, strict=True):
                     n = len(t.marks)
