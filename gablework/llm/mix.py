@@ -1,14 +1,15 @@
 """Problem 9: draw documents from sources so that token shares match targets.
 
-Budgets are hierarchical: the targets are summed up a tree of domain, language and source, the total goes down it in proportion,
-and what a source can't supply within its passes is shared out among its siblings first, then among the siblings of its parent,
-then of its domain. Each leaf draws a prefix, in tokens, of the documents in seeded epochs: every epoch is an order of all the
-source's documents by a hash of seed, epoch and document; whole epochs are taken first and a prefix of one more.
-
-Without a given total the largest is taken at which no source that has documents falls short, so the reached shares match
-the targets to within a document each. A source that is listed but has no documents gives its share to its siblings (and up).
-Sources that aren't listed, documents without tokens and null sources are not drawn. A target listed twice counts once, by its
-larger share.
+Budgets are hierarchical: the targets are summed up a tree of domain (kind), language and source, the total goes down it in proportion,
+and what a leaf can't supply within its passes is shared out among its siblings first, then among the siblings of its parent,
+then of its domain. A leaf is a source's documents in one language; a source in several languages has a leaf under each, and its target is
+divided by their tokens. Each leaf draws a prefix, in tokens, of its documents in seeded epochs: every epoch is an order of all the
+leaf's documents by a hash of seed, epoch and document; whole epochs are taken first and a prefix of one more.
+
+Without a given total the largest is taken at which no leaf that has documents falls short, so the reached shares match
+the targets to within a document each; with a larger one small sources reach their passes and others take up what is left. A source that is listed
+but has no documents has no domain, so its share goes to all. Sources that aren't listed, documents without tokens and null sources are
+not drawn. Languages other than those of LANGUAGES count as one, unknown. A target listed twice counts once, by its larger share.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as win
 
 from ..session import cut
 
 #: Targets are read by the driver: a mixture has at most so many sources.
 MAX_SOURCES = 100_000
+#: Languages that are levels of the tree of their own.
+LANGUAGES = ("en", "es")
 #: Ranges of the hash order of a source's documents that are summed before one range is looked into.
 RANGES = 4096
 
@@ -72,11 +74,11 @@ def tree(leaves: list[tuple[tuple[str, str, str], float, float]]) -> Node:
     return root
 
 
-def budgets(leaves: list[tuple[tuple[str, str, str], float, float]], total: float | None = None) -> dict[str, float]:
-    """Tokens to draw from each source."""
+def budgets(leaves: list[tuple[tuple[str, str, str], float, float]], total: float | None = None) -> dict[tuple[str, ...], float]:
+    """Tokens to draw from each leaf, by its path."""
     supplied = [(w, m) for _, w, m in leaves if m > 0 and w > 0]
     if not supplied:
-        return {p[2]: 0.0 for p, _, _ in leaves}
+        return {p: 0.0 for p, _, _ in leaves}
     root = tree(leaves)
     if total is None:  # the largest total at which nobody falls short: it grows until the first leaf is full
         lo, hi = 0.0, root.most
@@ -87,7 +89,7 @@ def budgets(leaves: list[tuple[tuple[str, str, str], float, float]], total: floa
             lo, hi = (lo, mid) if short else (mid, hi)
         total = lo
     share_out(root, total)
-    return {n.name[2]: n.budget for n in _leaves(root)}
+    return {n.name: n.budget for n in _leaves(root)}
 
 
 def _leaves(node: Node) -> list[Node]:
@@ -97,52 +99,53 @@ def _leaves(node: Node) -> list[Node]:
 def mix(docs: DataFrame, targets: DataFrame, *, total_tokens: float | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """Draw from docs (doc_id, source, kind, lang, n_tokens) by targets (source, target_share, max_passes).
 
-    Returns the drawn rows (source, doc_id, n_tokens, epoch, passes: whole copies this row stands for) and the report (source,
-    domain, language, target_share, actual_share, drawn_tokens, budget_tokens, passes_used, max_passes).
+    Returns the drawn rows (source, doc_id, n_tokens, epoch, passes: whole copies this row stands for) and the report, a row a leaf (source,
+    domain, language, target_share, actual_share, drawn_tokens, budget_tokens, passes_used, max_passes); shares of a source's leaves add up to the source's.
     """
     spark: SparkSession = docs.sparkSession
     docs = docs.filter("source is not null and n_tokens > 0")
-    # everything the budgets need of a source: its tokens, and its prevailing domain and language
-    by = cut(docs.groupBy("source", "kind", "lang").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")))
-    listed = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max_by("max_passes", "target_share").alias("max_passes")).limit(MAX_SOURCES + 1)
-    of = by.groupBy("source").agg(
-        F.sum("tokens").alias("tokens"), F.max_by("kind", F.struct("n", "kind")).alias("kind"), F.max_by("lang", F.struct(F.col("lang").isin("en", "es").cast("int"), "n", "lang")).alias("lang")
-    )
-    rows = listed.join(of, "source", "left").collect()
-    if len(rows) > MAX_SOURCES:
+    language = F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise("")
+    docs = docs.withColumn("domain", F.coalesce("kind", F.lit(""))).withColumn("language", language)
+    leaf = ["source", "domain", "language"]
+    of = docs.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"))
+    listed = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max_by("max_passes", F.struct("target_share", "max_passes")).alias("max_passes")).limit(MAX_SOURCES + 1)
+    rows = [r for r in listed.join(of, "source", "left").collect() if r.source is not None]
+    if len({r.source for r in rows}) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources are listed")
-    rows = [r for r in rows if r.source is not None]
-    leaves = [((r.kind or "", r.lang or "", r.source), max(0.0, r.target_share or 0.0), float((r.tokens or 0) * max(0, r.max_passes or 0))) for r in rows]
-    quota = budgets(leaves, total_tokens)
+    held: dict[str, int] = {}
+    for r in rows:
+        held[r.source] = held.get(r.source, 0) + (r.tokens or 0)
+    path = lambda r: (r.domain or "", r.language or "", r.source)
+    weight = {path(r): max(0.0, r.target_share or 0.0) * (r.tokens / held[r.source] if r.tokens else 1.0) for r in rows}
+    quota = budgets([(path(r), weight[path(r)], float((r.tokens or 0) * max(0, r.max_passes or 0))) for r in rows], total_tokens)
     plan = []
     for r in rows:
-        passes = int(quota[r.source] // r.tokens) if r.tokens else 0
-        plan.append((r.source, passes, quota[r.source] - passes * (r.tokens or 0)))
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("whole", T.IntegerType()), T.StructField("rest", T.DoubleType())])
-    plan_df = F.broadcast(spark.createDataFrame(plan, schema))  # at most MAX_SOURCES rows of about 50 bytes
+        passes = int(quota[path(r)] // r.tokens) if r.tokens else 0
+        plan.append((r.source, r.domain or "", r.language or "", passes, quota[path(r)] - passes * (r.tokens or 0)))
+    plan_df = F.broadcast(spark.createDataFrame(plan, "source string, domain string, language string, whole int, rest double"))  # leaves of at most MAX_SOURCES sources, 60 bytes each
 
-    drawn = docs.join(plan_df, "source").filter("whole > 0 or rest > 0")
+    drawn = docs.join(plan_df, leaf).filter("whole > 0 or rest > 0")
     key = F.xxhash64("source", "doc_id", "whole", F.lit(seed))
-    drawn = drawn.select("source", "doc_id", "n_tokens", "whole", "rest", key.alias("key"), F.pmod(F.shiftrightunsigned(key, 40), F.lit(RANGES)).cast("int").alias("range"))
+    drawn = drawn.select(*leaf, "doc_id", "n_tokens", "whole", "rest", key.alias("key"), F.pmod(F.shiftrightunsigned(key, 40), F.lit(RANGES)).cast("int").alias("range"))
     # the prefix: sums by range of the hash order, then an order within ranges; a source is never in one task
-    sums = drawn.filter("rest > 0").groupBy("source", "range").agg(F.sum("n_tokens").alias("t"))
-    before = sums.select("source", "range", (F.sum("t").over(win.Window.partitionBy("source").orderBy("range")) - F.col("t")).alias("before"))
-    inner = F.sum("n_tokens").over(win.Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(win.Window.unboundedPreceding, -1))
-    part = drawn.filter("rest > 0").join(before, ["source", "range"]).withColumn("upto", F.col("before") + F.coalesce(inner, F.lit(0)))
+    sums = drawn.filter("rest > 0").groupBy(*leaf, "range").agg(F.sum("n_tokens").alias("t"))
+    before = sums.select(*leaf, "range", (F.sum("t").over(win.Window.partitionBy(*leaf).orderBy("range")) - F.col("t")).alias("before"))
+    inner = F.sum("n_tokens").over(win.Window.partitionBy(*leaf, "range").orderBy("key", "doc_id").rowsBetween(win.Window.unboundedPreceding, -1))
+    part = drawn.filter("rest > 0").join(before, [*leaf, "range"]).withColumn("upto", F.col("before") + F.coalesce(inner, F.lit(0)))
     # the document that crosses the budget is taken if more than half of it fits
-    part = part.filter(F.col("upto") + F.col("n_tokens") / 2 <= F.col("rest")).select("source", "doc_id", "n_tokens", F.col("whole").alias("epoch"), F.lit(1).alias("passes"))
-    full = drawn.filter("whole > 0").select("source", "doc_id", "n_tokens", F.lit(0).alias("epoch"), F.col("whole").alias("passes"))
+    part = part.filter(F.col("upto") + F.col("n_tokens") / 2 <= F.col("rest")).select(*leaf, "doc_id", "n_tokens", F.col("whole").alias("epoch"), F.lit(1).alias("passes"))
+    full = drawn.filter("whole > 0").select(*leaf, "doc_id", "n_tokens", F.lit(0).alias("epoch"), F.col("whole").alias("passes"))
     rows_drawn = cut(full.unionByName(part))
 
-    got = rows_drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("passes")).alias("drawn_tokens"))
+    got = rows_drawn.groupBy(*leaf).agg(F.sum(F.col("n_tokens") * F.col("passes")).alias("drawn_tokens"))
     facts = spark.createDataFrame(
-        [(r.source, r.kind, r.lang, r.target_share, r.max_passes, float(r.tokens or 0), quota[r.source]) for r in rows],
+        [(r.source, r.domain or "", r.language or "", weight[path(r)], r.max_passes, float(r.tokens or 0), quota[path(r)]) for r in rows],
         "source string, domain string, language string, target_share double, max_passes int, source_tokens double, budget_tokens double",
     )
-    report = facts.join(got, "source", "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0)).cast("long"))
+    report = facts.join(got, leaf, "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0)).cast("long"))
     whole = report.agg(F.sum("drawn_tokens").alias("_all"))
     report = report.crossJoin(whole).select(  # one row on the right
         "source", "domain", "language", "target_share", F.when(F.col("_all") > 0, F.col("drawn_tokens") / F.col("_all")).otherwise(0.0).alias("actual_share"), "drawn_tokens",
         F.round("budget_tokens").cast("long").alias("budget_tokens"), F.when(F.col("source_tokens") > 0, F.col("drawn_tokens") / F.col("source_tokens")).otherwise(0.0).alias("passes_used"), "max_passes",
     )
-    return rows_drawn, report
+    return rows_drawn.drop("domain", "language"), report

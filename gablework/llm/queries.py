@@ -158,5 +158,12 @@ def p9_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(_counted(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[0]
 
 
+def p9_budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report for as many tokens as the listed sources hold in all: most need their shares, the small ones reach their passes."""
+    docs, targets = _counted(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    total = docs.join(targets.select("source").distinct(), "source", "left_semi").agg(F.sum("n_tokens")).first()[0] or 0
+    return mix.mix(docs, targets, total_tokens=float(total))[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in sorted(globals().items()) if k[:1] == "p" and k[1:2].isdigit() and callable(v)}

@@ -54,4 +54,4 @@ def test_clean():
     t = turns.Transcript([(0, "um, so [music] you know, the >> boiler , uh failed (laughs).")], ["Ann Bell"])
     assert turns.clean(t, 0, len(t.text)) == "so the boiler, failed."
     t.drop = {}
-    assert turns.clean(t, 0, 9) == "um, so"
+    assert turns.clean(t, 0, 6) == "um, so"
