@@ -12,6 +12,8 @@ from collections.abc import Sequence
 import numpy as np
 
 TOKEN = re.compile(r"\d{1,3}(?:,\d{3})+(?!\w)|[+#]?\w(?:[\w@+.'’/\-–—]*\w)?|\S")
+#: Sentences in which a word must stand to have features of its own; invented names must not.
+KNOWN = 5
 REACH = (-3, -2, -1, 0, 1, 2, 3)
 #: Distinct tokens remembered by a worker before the memory is emptied; it only saves work.
 MEMO = 300_000
@@ -86,13 +88,13 @@ class Crf:
             out.append(f)
         return out
 
-    def train(self, sentences: list[list[str]], tags: list[list[str]], *, epochs: int = 12, batch: int = 64, rate: float = 0.08, l2: float = 2e-4, seed: int = 3) -> "Crf":
+    def train(self, sentences: list[list[str]], tags: list[list[str]], *, epochs: int = 12, batch: int = 64, rate: float = 0.08, l2: float = 5e-5, seed: int = 3) -> "Crf":
         k, at = len(self.labels), {t: i for i, t in enumerate(self.labels)}
         count: dict[str, int] = {}
         for s in sentences:
             for w in s:
                 count[w.lower()] = count.get(w.lower(), 0) + 1
-        self.known = {w for w, n in count.items() if n >= 5}
+        self.known = {w for w, n in count.items() if n >= KNOWN}
         named, count = [self._names(s) for s in sentences], {}
         for s in named:
             for t in s:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import pii_labels
 from .crf import Crf, tokens
 
-ROWS = 5000
+ROWS = 6000
 #: Sentences remembered by a worker before the memory is emptied; it only saves work.
 MEMO = 400_000
 #: Texts decoded at once.
@@ -53,7 +53,7 @@ def tagged(text: str, marks: list[tuple[int, int, str]]) -> tuple[list[str], lis
 @cache
 def trained(rows: int = ROWS, seed: int = 5) -> Crf:
     table = [tagged(*r) for r in pii_labels.labelled(rows, seed)]
-    return Crf(labels()).train([w for w, _ in table], [t for _, t in table], epochs=8)
+    return Crf(labels()).train([w for w, _ in table], [t for _, t in table], epochs=10)
 
 
 def sentences(text: str) -> list[tuple[int, str]]:

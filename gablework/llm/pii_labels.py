@@ -1,7 +1,7 @@
 """The small labelled table from which the finder of personal details is trained.
 
 Sentences are written with slots; slots are filled with invented values: names of random syllables, numbers of random digits. What
-stands in [brackets after a kind] is labelled. No value of any test table is used.
+stands in [brackets after a kind] is labelled. No value and no sentence of any test table is used: the contexts are of clinics, clubs and travel.
 """
 
 from __future__ import annotations
@@ -14,44 +14,43 @@ MARK = {"E": "email", "P": "phone", "I": "id_number", "A": "street_address", "N"
 
 #: Contexts with details; {E} email, {P} phone, {I} identity number, {A} address, {N} name.
 WITH = """
-email me at {E} | my email is {E} | mi correo es {E} | escríbame a {E} | write to {E} or call {P} | {E} | contact: {E} / {P} | contact {E} | mandar copia a {E}
-send the letter to {A} and copy {E} | forwarded from {E} to {E} | tenant {N} wrote from {E} | cc {E} please | reply to {E} by friday | la inquilina {N} escribió desde {E}
-lockout at {A} | co-signer {N}, {K} {I}, {E} | co-signer {N}, {I}, {E} | applicant gave {K} {I} | applicant gave {I} | su documento: {K} {I} | please keep {I} on file for {N} | for {N} the application shows {I} | the co-signer is {N} | lockout at {A}, call {N}
-copy {E} on it | the address {E} bounced | reach him at {E} | correo {E}
-call {N} on {P} | call {N} at {P} | call {N} on {P} or {P} | call me at {P} | my name is {N} and my number is {P} | me llamo {N} y mi teléfono es {P} | llame a {N} al {P}
-you can reach me at {P} | who answers {P} at night, nobody picks up | got a text from {P} about it | phone {P} | tel {P} | mi número es {P} | call or text {P} | {N} {P} | {P}
-who answers {P} during the day | puede llamarme al {P} | text from {P} again | fax {P} or mail to {A} | número {P} del inquilino
-please keep {K} {I} on file for {N} | for {N} the application shows {K} {I} | her {K} is {I} | {K} {I} | {K}: {I} | {K}: {I} | su documento: {I} | {K} is {I} | {K} number is {I} | my {K} {I} was on the form | the form says {K} {I}
-documento {I} de {N} | {N} gave {K} {I} | número de documento {I} | application with {K} {I} for {N} | {K} es {I} | keep {K} {I} private
-the roof of {A} again | is {N} still on the lease for {A} | mail for {N} keeps coming to {A} | left keys with {N} at {A} | {N} moved out of {A} last week | the unit is at {A} | la inquilina {N} vive en {A}
-el edificio de {A} | reported by {N}, lives at {A} | the building at {A} | send it to {A} | meet me at {A} | {A} has a leak | {A} | vive en {A} | la propiedad en {A} | deliver to {A} for {N} | our place at {A} is empty
-rent for {A} is late | visit {A} at noon | the boiler of {A} | deed for {A} | keys to {A}
-spoke with {N} | hablé con {N} | thanks, {N} | saludos, {N} | re {N} | gracias, {N} | {N}'s check bounced | {N}'s rent is late | ask {N} about it | regards, {N} | from {N} | signed by {N} | {N} | {N} called
-lease for {N} | tenant {N} | my tenant {N} says no | the new owner is {N} | dear {N} | {N} paid cash | met {N} at the unit | el inquilino {N} no pagó | la señora {N} llamó | {N} moved out | inquilino: {N} | {N} wants the deposit back | reported by {N} | paid by {N} | for {N}
-{N} and {N} share the unit | {N} asked for {P} | keys for {N} at the office | el recibo de {N} | spoke to {N} about the roof | note from {N} | {N} {E} | {N}, {P} | {N} {P} | {N} {P} | me llamo {N} y mi teléfono es {P} | reported by {N}, lives at {A} | reported by {N}, lives at {A} | thanks, {N} | spoke with {N} | left keys with {N} at {A} | ask for {N} at {P}
+my inbox is {E} | inbox {E} works best | escríbale a {E} sobre el viaje | drop a line to {E} or ring {P} | {E} | e-mail: {E} / {P} | {E} never replied | copia para {E} y {E} | tickets go to {E} | ping {E} before noon
+post the parcel to {A} and tell {E} | relayed by {E} to {E} | teacher {N} uses {E} | sent by {N} through {E} | in copy: {E} | answer {E} within the week | la maestra {N} usa el buzón {E} | the club newsletter goes to {E} | the mailbox {E} is full | his handle is {E} | buzón {E}
+got no reply from {E} | {N} can be found under {E} | {N} {E} | {N}, {E} | {E} is the one to use | is {E} still right | try {E}, then {P} | both {E} and {E} bounce
+ring {N} on {P} | dial {P} for {N} | {N} picks up at {P} or {P} | beep me on {P} | I am {N} and my line is {P} | soy {N} y mi celular es {P} | marque a {N}, {P} | teléfono de {N}: {P} | {N} dejó el número {P}
+the clinic gave {P} | who rings from {P} every evening | a stranger texted from {P} twice | mobile {P} | cell {P} | mi celular: {P} | text {P} after lunch | {N} {P} | {P} | {N}, {P} | voicemail at {P} | la llamada vino de {P}
+does {P} belong to the school | from noon on use {P} | puede marcar {P} | another message from {P} came | pager {P} or a note to {A} | the line {P} of the coach | {N} on {P}, not before ten | {P} rang twice | number for {N} is {P}
+the file of {N} lists {K} {I} | {N} is entered with {K} {I} | the guest {N} showed {K} {I} | her {K}: {I} | {K} {I} | {K}: {I} | {K} {I} belongs to {N} | {K} no. {I} | {K} was {I} on the slip | copied {K} {I} from the card | visitor handed over {K} {I} | visitor handed over {I}
+cédula o documento {I} de {N} | {N} signed with {K} {I} | su {K} es {I} | la ficha dice {K} {I} | guest {N}, {K} {I}, {E} | guest {N}, {I}, {E} | store {K} {I} in the safe for {N} | store {I} in the safe for {N} | at the desk {N} gave {I} | the form of {N} shows {I} | the driver is {N}, {K} {I} | the passenger is {N} | keep {K} {I} from others | {K} ends up as {I}
+meet the guide at {A} | does {N} live at {A} these days | parcels of {N} end up at {A} | gave the bag to {N} at {A} | {N} left {A} in spring | the shop sits at {A} | la señora {N} tiene su tienda en {A} | pick me up from {A} | the chimney of {A} once more | lost cat near {A}, ring {N}
+la casa de {A} | noted by {N}, home address {A} | noted by {N}, lives on {A} | the hall at {A} | ship it to {A} | see you at {A} | {A} was flooded | {A} | su taller está en {A} | el taller de {A} | a courier goes to {A} for {N} | our old shop at {A} stands dark | locked out of {A}
+the invoice for {A} is overdue | stop by {A} in the morning | the furnace of {A} | papers for {A} | a spare key to {A} | {N} at {A} | {A}, second door | from {A} to {A} by bus
+chatted with {N} | platiqué con {N} | cheers, {N} | un abrazo, {N} | about {N} | muchas gracias, {N} | {N}'s car broke down | {N}'s bill is open | check with {N} first | yours, {N} | by {N} | handed in by {N} | {N} | {N} phoned | thanks, {N} | thank you {N}
+booking for {N} | guest {N} | my neighbour {N} disagrees | the new coach is {N} | hello {N} | {N} settled in coins | ran into {N} at the gym | el paciente {N} no vino | la doctora {N} avisó | {N} has left | paciente: {N} | {N} asks for a refund | seen by {N} | settled by {N} | {N} and {N} came along | room of {N} | signed, {N} | told by {N}
+{N} and {N} split the bill | {N} wanted {P} | a note for {N} at the counter | la cuenta de {N} | talked with {N} about the match | letter of {N} | {N} {E} | {N}, {P} | {N} {P} | soy {N}, mi celular {P} | noted by {N}, lives on {A} | cheers, {N} | chatted with {N} | gave the bag to {N} at {A} | look for {N} under {P} | saludos de {N} | regards {N}
 """
 #: Sentences and fragments without personal details, and look-alikes.
 WITHOUT = """
-{B} came by | {B} quote | {B} sent the invoice | pago a {B} | call {B} tomorrow | {B} fixed it | {B} | ask {B} for a quote | thanks to {B} | spoke with {B} | {B} office | {B}, paid in full
-the {D} listing | the {D} file | {D} office | my building in {D} has a bad roof, who pays for it | is {M} fair for a boiler in {D} | near {S} | on {S} | the lot on {S} | corner of {S} | in {D} | {D} | vacancy in {D} | apartments near {D} | un edificio en {D} | cerca de {D}
-in {D} the owner usually asks for the lease | we walked a brick property near {D} and the boiler was two years past its date | vacancy in {D} ran near two percent while the stock in {D} stayed full | our old mailbox in {D} finally gave out | it takes six phone calls to get somebody out for a fence in {D}
-on paper the deal in {D} clears {M} | en {D} el dueño suele pedir el contrato | cerca de {D} visitamos una propiedad vieja
-order {O} | invoice {O} | permit #{O} | case no. {C} | ticket {C} | PIN {X} | parcel {X} | meter {O} | model {C} | rev. {V} | zone {Z} | unit {O} of {O} | {O} units at {O} a door | file {C} | lot {O} | check #{O} | serial {C} | account {O} | confirmation {O} | version {V} | apartment {O} | code {O}
-order {O}, the boiler is leaking again | case no. {C}, window sash serviced | permit #{O}, too long but fine | PIN {X}, paid {M} toward the fence | model {C} walked the roof | zone {Z}, partial payment, {M} still due | {O} units at {O} a door, paid {M} | meter {O}, new porch for unit 2B
-by @{H} on the forum | @{H} said so | thanks @{H} | see @{H}
-paid {M} toward the boiler | quote for the roof: {M} | pago de {M} por el techo | partial payment, {M} still due | rent for the unit was {M} | the number was off, we paid {M} | is {M} fair for a roof | ¿es normal pagar {M} por la caldera? | between {M} and {M} is normal for a boiler in a corner building | the quote came back at {M}
-how do I price the sump pump before the first frost? | can the lender ask me for the lease every spring? | We have four units and the intercom failed again. what now? | What should a lease say about the boiler? | Need a checklist for the closing statement please | Do I need to clean the gutter before renting a corner place?
-cómo escribo el contrato si la inquilina no contesta | necesito ayuda con el seguro antes del invierno | ¿quién paga el techo después de la tormenta? | no respondió sobre el techo | muy útil lo de el contrato | demasiado largo | revisé la caldera con el inspector | falta la lista de entrada | arreglo de la ventana
-{U} {U} leaking again, {U} hours labor | {U} {U} noise reported after each {U} | {U} {U} copied and filed | walked the {U} {U} with the {U} {U} | quote for the {U} {U}: {M} | paid {M} toward the {U} {U} | thanks for the {U} | re {U} {U} | the {U} {U} said {U} | call the {U} {U} | revisé la {U} del {U} con la {U} | necesito ayuda con el {U} {U} cada {U}
-arreglo de el {U} | new {U} {U} for unit 2B | What should a {U} {U} say about the {U} {U}? | Can the {U} {U} ask me for the {U} {U} {U} {U}? | how do I {U} the {U} {U} {U} {U}? | The {U} {U} mentions the {U} {U}, however the {U} {U} read it differently | {U} {U} {U} | supplies for {U} {U} | my {U} building in {D} has a bad {U} {U}, who pays for it | in {D} a {U} {U} usually asks for the {U} {U} | hablé con la {U} | spoke with the {U} {U} | please keep the {U} {U}
-{W} | {W} | {W} | {W} | {W}, {W} | {W}, {W} | In {D} {W} | {W} near {D} and {W} | {W} in {D} | En {D} {W} | {W} in {D} | {W} {M} {W} | {W} {M} {W} | {D} office | {D} office | {W} {D} {W}
-¿quién paga el {U} de {U} al {U}? | Ask the {U} {U} to {U} the {U} {U} and to {U} the {U} {U} | exactly what the {U} {U} told me {U} the {U} | from the {U} {U} | paid by the {U} | for the {U} {U}
-boiler leaking again, eleven hours labor | mailbox noise reported after each storm | lease copied and filed | walked the roof with the janitor | supplies for the porch | new boiler for unit 2B | Screening is slow work, and the owner should label every lease the same way
-You may replace the boiler yourself; just write the date on the lease | Keep the lease and the photos of the roof in one folder twice a year | Nobody likes a rent increase, yet the owner accepted {M} more after the roof was fixed | Ask the seller to clean the gutter and to sign the lease
-The lease mentions the boiler, however the owner read it differently | Most people forget to check the boiler in a slow season, because a small leak never stays small | Good records help a contractor more than a new boiler | When the heat drops, the tenant calls about the boiler first and the lease second
-Twenty units, one boiler and a thin lease: that was the whole file | A brick building needs about {M} a month set aside for the boiler | If the lease is missing, the owner ends up paying for the roof | exactly what the owner told me | helpful, the lease part saved me time | wrong about the roof | too long but fine
-call back on Monday | meet at 4 pm on 3/14/2024 | due 2024-05-01 | since March 2021 | {O} days late | at 12:30 the alarm rang | January rent | the City asked for it | HUD form | Section 8 voucher | call the office at noon | saludos | thanks again | gracias por todo | re the lease | re: roof | phone is dead | email bounced | the tenant wrote back | my number is on the form
-hablé con el plomero | spoke with the janitor | llame a la oficina | email me the lease | call me later | send the letter to the owner | please keep the lease on file for the owner | is the tenant still on the lease for the unit | mail keeps coming | left keys with the porter | moved out last week | reported by the tenant
+{B} dropped in | {B} estimate | {B} billed us | le pagamos a {B} | ring {B} in the morning | {B} did the job | {B} | get a price from {B} | kudos to {B} | talked with {B} | {B} desk | {B}, all settled | the van of {B}
+the {D} branch | the {D} binder | {D} branch | a clinic in {D} closed, who knows why | was {M} too much for a haircut in {D} | by {S} | along {S} | the stop on {S} | where {S} ends | in {D} | {D} | beds free in {D} | hotels around {D} | una escuela en {D} | junto a {D} | {D} school | {D} shop
+in {D} a guest mostly brings a towel | we saw a wooden chapel close to {D} and the organ was ten years silent | seats in {D} sold out while those in {D} did not | the old clock in {D} stopped | somebody in {D} needs two days for a haircut | a walk through {D} and back
+the tour of {D} brings {M} | en {D} la gente trae su comida | junto a {D} vimos una iglesia | from {D} to {D} by train
+parcel {O} | bill {O} | licence plate #{O} | docket no. {C} | issue {C} | code {X} | plot {X} | gauge {O} | type {C} | build {V} | area {Z} | seat {O} of {O} | {O} chairs for {O} each | dossier {C} | batch {O} | cheque #{O} | part no. {C} | booking {O} | reference {C} | release {V} | locker {O} | pin {O} | order {O} | permit #{O} | invoice {O} | account {O} | model {C} | meter {O} | check #{O} | case no. {C} | PIN {X} | parcel {X}
+parcel {O}, the lid is cracked | docket no. {C}, brakes done | plate #{O}, far away yet lovely | code {X}, {M} down for the trip | type {C} beat the rest | area {Z}, {M} left to pay | {O} chairs for {O} each, {M} in all | gauge {O}, spare tyre for bay 4C | PIN {X}, {M} in cash | case no. {C}, oil changed | order {O}, the wheel squeaks
+{U} {U}, {M} {U} {U} | {U} {U}, {M} {U} | {U}, {M} {U} {U} {U} | {U} {U} {U}, {U} {U} | {U} {U}: {M} | {U} {U}, {U} | {U} {U} {O}, {U} {U} | @{H} wrote so online | @{H} has a point | credit to @{H} | follow @{H} | posted by @{H} yesterday
+spent {M} on the trip | a bid for the stage: {M} | {M} por el viaje | {M} still open | the ticket used to cost {M} | the total was wrong, {M} too high | would {M} do for a bike | ¿son muchos {M} por un corte? | anything from {M} to {M} is common for a saddle | they asked {M} for it | {M} down, {M} to go
+where do I park the van before the match? | may the coach keep my card all season? | There are four of us and the tent leaks. any tips? | Which paper should the vet get first? | Looking for a recipe for plum cake | Am I to bring my own towel to a small hotel?
+cómo llego al museo si no pasa el tren | busco ayuda con el equipaje antes del vuelo | ¿quién cuida el perro después de la fiesta? | no contó nada del partido | qué bonito lo del coro | bastante corto | miré la bici con el entrenador | sobra una silla | pintura de la puerta
+{U} {U} broken once more, {U} days of work | {U} {U} rattles in any {U} | {U} {U} washed and packed | carried the {U} {U} to the {U} {U} | a bid on the {U} {U}: {M} | spent {M} on the {U} {U} | cheers for the {U} | on {U} {U} | the {U} {U} meant {U} | ring the {U} {U} | miré el {U} de la {U} con el {U} | busco ayuda con la {U} {U} cada {U}
+pintura de la {U} | spare {U} {U} for bay 4C | Which {U} {U} goes on the {U} {U}? | May the {U} {U} keep my {U} {U} {U} {U}? | where do I {U} a {U} {U} {U} {U}? | A {U} {U} lists the {U} {U}, but a {U} {U} saw it otherwise | {U} {U} {U} | parts for {U} {U} | a {U} shop in {D} owns a {U} {U}, who cleans it | in {D} the {U} {U} mostly brings a {U} {U} | platiqué con la {U} | chatted with the {U} {U} | store the {U} {U}
+{W} | {W} | {W} | {W} | {W}, {W} | {W}, {W} | In {D} {W} | {W} by {D} and {W} | {W} in {D} | En {D} {W} | {W} in {D} | {W} {M} {W} | {W} {M} {W} | {D} branch | {D} branch | {W} {D} {W} | {W} {S} {W}
+¿quién cuida la {U} de {U} en {U}? | Tell a {U} {U} to {U} a {U} {U} and then {U} a {U} {U} | just as the {U} {U} wanted {U} a {U} | off the {U} {U} | settled by the {U} | for a {U} {U} | Bring the {U} {U} before you {U} the {U} {U} | each {U} {U} has a {U}, so the {U} {U} stays {U} | La {U} {U} no cabe en el {U}, pero la {U} {U} sí
+engine rattles once more, nine days of work | gate squeaks in any wind | ticket printed and packed | carried the drum to the stage | parts for the bike | spare tyre for bay 4C | Choir practice takes patience, and a singer should warm up each time
+You can tune the drum alone; only mark the day on the card | Put the ticket and a picture of the bag in one box each month | Nobody enjoys a long queue, but the crowd stayed {M} poorer when the band came | Tell the baker to sift the flour and to weigh the butter
+The programme lists the drum, but the singer saw it otherwise | Few people remember to oil the chain in winter, since a dry chain squeaks late | A tidy diary does more for a coach than a new bench | Once the rain stops, the players look for the ball and then for the coach
+Ten rows, one drum and a short song: so went the whole show | A stone church takes some {M} a year for candles | Should the ticket get lost, the guest pays for the seat | just as the singer wanted | nice, the drum bit helped | off about the stage | a bit short but nice
+ring back on Tuesday | see you at 5 pm on 6/2/2023 | until 2023-08-09 | since June 2020 | {O} weeks early | around 11:45 the bell rang | May sales | the Council wants it | NASA form | Part 4 ticket | ring the desk after lunch | un abrazo | cheers again | mil gracias | about the match | subj: stage | line is busy | mail came back | the singer answered | my line is on the poster
+platiqué con el panadero | chatted with the waiter | marque a la recepción | mail me the song | ring me tonight | post the parcel to the baker | please store the song for the coach | does the coach still have the key to the hall | letters still arrive | gave the bag to the guard | left in spring | noted by the waiter
 """
 TRADES = "Plumbing|Heating|Roofing|Electric|Painting|Locksmiths|Masonry|Pest Control|Cleaning Company|Snow Removal|Insurance Agency|Property Supply|Appliance Repair|Windows and Doors|Elevator Service|Landscaping|Realty|Management|Bank|Hardware|Services LLC|& Sons|Inc.".split("|")
 PLACES = "Heights|Park|Row|Village|Square|Terrace|Hill|Yard|Gardens|Commons|Gate|Oval|Fields|Flats|Springs|Mills|Landing|Junction|Point|Bend|Corner|Grove|Hollow|North|South|Viejo|Alto|Mile|Triangle|Cross|Center|Crossing|Falls|City|Valley|Ridge|Lake|Harbor|Beach|District|Station|Market".split("|")
@@ -61,6 +60,10 @@ KEYWORDS = "SSN|ssn|social|social security|social security number|seguro social|
 DIGITS = {"en": "zero one two three four five six seven eight nine".split(), "es": "cero uno dos tres cuatro cinco seis siete ocho nueve".split()}
 
 
+#: Share of context words that are made unknown in the sentences for which this is done.
+STRANGE = 0.4
+
+
 class Filler:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
@@ -166,8 +169,12 @@ class Filler:
         k = r.random()
         return a.upper() if k < 0.08 else a.lower() if k < 0.16 else a
 
-    def fill(self, template: str) -> tuple[str, list[tuple[int, int, str]]]:
-        """A sentence and the (start, end, kind) in it."""
+    def estrange(self, text: str) -> str:
+        """Text with some words replaced by unknown ones, so that the finder doesn't lean on the few contexts it has seen."""
+        return re.sub(r"\b[a-zñáéíóú]{2,}\b", lambda m: self.word(1, 2).lower() if self.r.random() < STRANGE else m.group(), text)
+
+    def fill(self, template: str, strange: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
+        """A sentence and the (start, end, kind) in it; strange: its context is partly of unknown words."""
         r, out, marks = self.r, "", []
         for part in re.split(r"(\{\w\})", template):
             slot = part[1] if re.fullmatch(r"\{\w\}", part) else ""
@@ -184,7 +191,7 @@ class Filler:
                     "V": lambda: f"{self.digits(1)}.{self.digits(2)}.{self.digits(3)}", "Z": lambda: f"{r.choice('ABCR')}{self.digits(2)}-{self.digits(3)}", "H": lambda: self.word(1, 3).lower(), "W": self.prose, "U": lambda: self.word(1, 3).lower() if r.random() < 0.9 else f"{self.word(1, 2)}-{self.word(1, 2)}".lower(),
                 }[slot]()
             else:
-                out += part
+                out += self.estrange(part) if strange else part
         if r.random() < 0.12 and out[:1].isascii():
             cap = out[:1].upper() + out[1:]
             out = cap if not marks or marks[0][0] else out
@@ -198,7 +205,7 @@ def labelled(rows: int = 5000, seed: int = 5) -> list[tuple[str, list[tuple[int,
     f, out = Filler(seed), []
     for _ in range(rows):
         first = f.r.choice(yes if f.r.random() < 0.6 else no)
-        text, marks = f.fill(first)
+        text, marks = f.fill(first, "{" in first and "{O}" not in first and f.r.random() < 0.6)
         if f.r.random() < 0.55:
             glue = f.r.choice([" ", ", ", "; ", " / ", " - ", ". ", ": "])
             more, extra = f.fill(f.r.choice(no if marks and f.r.random() < 0.7 else yes if f.r.random() < 0.5 else no))
