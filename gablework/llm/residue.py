@@ -47,6 +47,9 @@ _MENTION_AFTER = re.compile(r"(?i)^[\"'”’»]?,?\s*(?:(?:still )?(?:printed|w
 #: Annotations and marks of transcripts, which are no fields.
 _NOT_FIELD = re.compile(r"(?i)^[\[<{(]+(?:music|inaudible|applause|laughs?|laughter|risas|m[uú]sica|aplausos|crosstalk|host|sic|v |i|b|p|br|em|strong|div|span|\w|edit|video|image|photo)\b")
 
+#: Units of one key that meet in one place; keys of more are cut into blocks of that many.
+KEY_BLOCK = 500
+
 #: The labelled table: common messages of web servers, portals and editors, as units (lower case, without numbers and marks).
 SEEDS = (
     "page not found", "internal server error", "access denied", "forbidden", "bad gateway", "service unavailable", "too many requests", "please enable javascript to continue", "lorem ipsum dolor sit amet",
@@ -149,15 +152,32 @@ def rarest_grams(hashed: DataFrame) -> DataFrame:
     return shared.select("unit_id", "n", F.explode(F.slice("held", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("x")).select("unit_id", "n", "x.gram")
 
 
+def met_in_keys(keyed: DataFrame, most: int = KEY_BLOCK) -> DataFrame:
+    """(a, b) of units that share a key, a < b; keyed: (unit_id, key). A key of many units is cut into blocks, each pair of which is a task's share.
+
+    No key is gathered in one place: members are dealt to blocks by hash, and a block meets each other block of its key once.
+    """
+    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / most).cast("int").alias("blocks")))
+    placed = join_sized(keyed, sizes, ["key"], salt=F.col("unit_id")).withColumn("block", F.pmod(F.xxhash64("unit_id"), F.col("blocks")).cast("int"))
+    # block i meets block j >= i under (key, i, j)
+    left = placed.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("unit_id").alias("x"))
+    right = placed.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("unit_id").alias("y"))
+    met = left.join(right, ["key", "i", "j"]).filter("x <> y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_pairs(hashed: DataFrame) -> DataFrame:
-    """(a, b) of near-duplicate units, verified; a < b. Units are distinct texts, so copies don't crowd a table's key."""
-    tabled = hashed.select("unit_id", "sim", F.explode("keys").alias("key"))
-    left, right = tabled.select(F.col("unit_id").alias("a"), F.col("sim").alias("sa"), "key"), tabled.select(F.col("unit_id").alias("b"), F.col("sim").alias("sb"), "key")
-    met = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= MOST_BITS)).select("a", "b")
+    """(a, b) of near-duplicate units, verified; a < b. Units are distinct texts, so copies don't crowd a key."""
+    sims = hashed.select("unit_id", "sim")
+    met = met_in_keys(hashed.select("unit_id", F.explode("keys").alias("key")))
+    a, b = (sims.select(F.col("unit_id").alias(u), F.col("sim").alias(f"s{u}")) for u in "ab")
+    met = met.join(a, "a").join(b, "b").filter(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= MOST_BITS).select("a", "b")
     rare = cut(rarest_grams(hashed))
-    x, y = (rare.select(F.col("unit_id").alias(u), F.col("n").alias(f"n{u}"), "gram") for u in "ab")
+    shared = met_in_keys(rare.select("unit_id", F.col("gram").alias("key")))
+    n = hashed.select("unit_id", F.size("grams").alias("n"))
+    a, b = (n.select(F.col("unit_id").alias(u), F.col("n").alias(f"n{u}")) for u in "ab")
     sizes = F.least("na", "nb") >= F.greatest("na", "nb") * SIMILARITY - 1e-9
-    met = met.union(x.join(y, "gram").filter((F.col("a") < F.col("b")) & sizes).select("a", "b")).distinct()
+    met = met.union(shared.join(a, "a").join(b, "b").filter(sizes).select("a", "b")).distinct()
     text = hashed.select("unit_id", "unit")
     met = met.join(text.withColumnsRenamed({"unit_id": "a", "unit": "ua"}), "a").join(text.withColumnsRenamed({"unit_id": "b", "unit": "ub"}), "b").select("a", "ua", "b", "ub")
 

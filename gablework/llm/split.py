@@ -1,7 +1,8 @@
 """Problem 1: cut oversized items into overlapping passages at natural boundaries.
 
 Every word end is a boundary. Each boundary is joined to its farthest legal successor: the last natural boundary (end of a
-sentence, line or paragraph) no more than limit - overlap words on, or the word exactly that far on where there is none. The
+sentence, line or paragraph) no more than limit - overlap words on, or the word exactly that far on where there is none. A boundary
+that leaves a passage with fewer than FRESH words of its own doesn't count, unless the item ends there. The
 successor table is then squared again and again (pointer doubling), so that all cuts of a greedy walk are known after
 log2(cuts) rounds, for all items of a batch at once, without walking any of them.
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-LIMIT, OVERLAP = 350, 60
+LIMIT, OVERLAP, FRESH = 350, 60, 30
 #: Code points of text scanned at once; bounds the memory of a task. One text is never cut for it.
 BLOCK_CHARS = 4_000_000
 
@@ -29,10 +30,11 @@ _STAMP = re.compile(r"(?m)^[ \t]*[\[(]?(?:(\d{1,3}):)?(\d{1,3}):(\d{2})(?:[.,](\
 _AT = {W.PLAIN: "word", W.SENTENCE: "sentence", W.LINE: "line", W.PARAGRAPH: "paragraph"}
 
 
-def greedy_cuts(item: np.ndarray, natural: np.ndarray, limit: int, overlap: int) -> np.ndarray:
+def greedy_cuts(item: np.ndarray, natural: np.ndarray, limit: int, overlap: int, fresh: int = 1) -> np.ndarray:
     """Word ends (indices one past the word) at which the greedy walk cuts each item, by pointer doubling.
 
-    item: of each word, non-decreasing. natural: whether a natural boundary follows the word. The end of an item is a cut.
+    item: of each word, non-decreasing. natural: whether a natural boundary follows the word. fresh: words that a passage must have of its own
+    to end at one. The end of an item is a cut.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
@@ -47,10 +49,10 @@ def greedy_cuts(item: np.ndarray, natural: np.ndarray, limit: int, overlap: int)
     at = np.arange(n + 1)
     bound = np.append(end, n)  # of a cut at i the item's end; only cuts inside an item are looked up
     reach = np.minimum(at + (limit - overlap), bound)
-    succ = np.where(reach == bound, bound, np.where(floor[reach] > at, floor[reach], reach))
+    succ = np.where(reach == bound, bound, np.where(floor[reach] >= at + fresh, floor[reach], reach))
     succ[stop] = stop  # item ends point to themselves
     reach0 = np.minimum(first + limit, stop)
-    root = np.where(reach0 == stop, stop, np.where(floor[reach0] > first, floor[reach0], reach0))
+    root = np.where(reach0 == stop, stop, np.where(floor[reach0] >= first + fresh, floor[reach0], reach0))
     cuts = np.unique(root)
     while True:
         more = np.unique(np.concatenate((cuts, succ[cuts])))
@@ -73,7 +75,7 @@ def pieces(texts: list[str | None], limit: int, overlap: int, unit: str, oversiz
         keep = np.repeat(sizes > limit, sizes)
         w = W.Words(w.doc[keep], w.start[keep], w.end[keep], w.after[keep], w.para[keep])
         item = item[keep]
-    cuts = greedy_cuts(item, w.after > W.PLAIN, limit, overlap)
+    cuts = greedy_cuts(item, w.after > W.PLAIN, limit, overlap, max(1, min(FRESH, (limit - overlap) // 4)))
     last = cuts - 1
     of = item[last] if len(cuts) else item
     new = np.append(True, of[1:] != of[:-1]) if len(cuts) else np.zeros(0, bool)

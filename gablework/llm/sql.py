@@ -26,5 +26,24 @@ paras AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY do
 SELECT doc_id, CAST(para_no AS INTEGER) AS para_no FROM paras WHERE n > 0 GROUP BY doc_id, para_no HAVING sum(n) > 350"""
 
 
+P4_CLEANED = _LINES.replace("SELECT doc_id, source, string_split", "SELECT doc_id, source, published_at, string_split").replace("lines AS (SELECT doc_id, source, CAST", "lines AS (SELECT doc_id, source, published_at, CAST").replace(
+    "keyed AS (SELECT doc_id, source, line_no, regexp", "keyed AS (SELECT doc_id, source, published_at, line, line_no, regexp"
+) + """,
+texts AS (
+  SELECT doc_id, source, any_value(nullif(trim(published_at), '')) AS date, string_agg(k, chr(31) ORDER BY line_no) AS seq FROM keyed WHERE k <> '' GROUP BY doc_id, source
+),
+clusters AS (SELECT source, seq, min(date) AS date FROM texts GROUP BY source, seq),
+held AS (SELECT DISTINCT k.source, k.k, t.seq FROM keyed k JOIN texts t USING (doc_id, source) WHERE k.k <> ''),
+gone AS (
+  SELECT h.source, h.k FROM held h JOIN often o USING (source, k) JOIN clusters c ON h.source = c.source AND h.seq = c.seq
+  GROUP BY h.source, h.k HAVING count(*) >= 3 AND count(DISTINCT coalesce(c.date, c.seq)) >= 3
+),
+kept AS (
+  SELECT k.doc_id, string_agg(k.line, chr(10) ORDER BY k.line_no) AS clean_text FROM keyed k LEFT JOIN gone g ON k.source = g.source AND k.k = g.k
+  WHERE g.k IS NULL GROUP BY k.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN d.source IS NULL THEN d.text ELSE coalesce(x.clean_text, '') END AS clean_text FROM documents d LEFT JOIN kept x USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p4_found": P4_FOUND}
+    return {"p1_found": P1_FOUND, "p4_cleaned": P4_CLEANED, "p4_found": P4_FOUND}

@@ -101,6 +101,14 @@ def test_no_similar_pair_is_lost(spark):
     assert len(want) > 300 and set(got) == want and len(got) == len(want)
 
 
+def test_keys_in_blocks(spark):
+    r = random.Random(8)
+    rows = [(i, r.choice((1, 1, 2, 3))) for i in range(90)]
+    got = [(p.a, p.b) for p in residue.met_in_keys(spark.createDataFrame(rows, "unit_id long, key long"), most=7).collect()]
+    want = {(i, j) for i, k in rows for j, m in rows if k == m and i < j}
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_tables_meet_near_hashes():
     a = residue.simhash("the server gave up on this request")
     for bits in ((1, 17, 60), (0, 31, 32), (5, 6, 7)):

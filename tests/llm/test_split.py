@@ -63,3 +63,14 @@ def test_start_time(spark):
     got = {(r.doc_id, r.piece_no): r.start_time for r in split.split_oversized(df, limit=2, overlap=0).collect()}
     assert got[(1, 0)] == 1.5 and got[(1, 1)] == 9.0
     assert got[(2, 0)] == 3.0 and max(v for k, v in got.items() if k[0] == 2) == 7.0
+
+
+def test_passages_have_words_of_their_own(spark):
+    # the only sentence ends are a word after a cut; a passage must not repeat sixty words for one
+    words = ["w"] * 1400
+    for k in (290, 291, 700, 702):
+        words[k] = "end."
+    df = spark.createDataFrame([(1, " ".join(words), "website", None)], "doc_id long, text string, kind string, segments_json string")
+    got = split.split_oversized(df).orderBy("piece_no").collect()
+    ends = [len(" ".join(words)[: p.end_char].split()) for p in got]
+    assert all(b - a >= 30 for a, b in zip(ends, ends[1:-1])) and all(p.n_words <= 350 for p in got) and ends[-1] == 1400
