@@ -176,7 +176,7 @@ def merge_owner(states: DataFrame, old: str, new: str) -> DataFrame:
 
 def set_field(states: DataFrame, changes: DataFrame, field: str) -> DataFrame:
     """states with one field set by changes (owner_id, value, at): the last change counts, other fields and owners stay; new owners are added."""
-    last = changes.groupBy("owner_id").agg(F.max_by("value", "at").alias("_v"))
+    last = changes.groupBy("owner_id").agg(F.max_by("value", F.struct("at", "value")).alias("_v"))
     out = states.join(last, "owner_id", "full_outer")
     return out.withColumn(field, F.coalesce("_v", field)).drop("_v").select(*states.columns)
 

@@ -52,7 +52,7 @@ def remove(stored: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
 
 def set_embeddings(chunks: DataFrame, fresh: DataFrame, model: str) -> DataFrame:
     """chunks with the vectors of fresh (id, embedding) and their model; unknown ids are ignored."""
-    new = fresh.groupBy("id").agg(F.first("embedding").alias("_v"))
+    new = fresh.groupBy("id").agg(F.max("embedding").alias("_v"))  # one and the same of several
     out = chunks.join(new, "id", "left")
     return out.withColumn("embedding_model", F.when(F.col("_v").isNotNull(), model).otherwise(F.col("embedding_model"))).withColumn("embedding", F.coalesce("_v", "embedding")).drop("_v").select(*chunks.columns)
 

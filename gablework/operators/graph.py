@@ -23,5 +23,5 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
         new = cut(new)
         labels = new.select("node", "class_id")
         if new.filter("class_id <> old").isEmpty():
-            break
-    return labels
+            return labels
+    raise ValueError(f"labels still change after {most_rounds} rounds")

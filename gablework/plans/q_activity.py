@@ -172,13 +172,19 @@ def follow_up_queries(s: SparkSession, d: str) -> DataFrame:
     return A.with_follow_up(_log(s, d), F.length("question") < 45).select("id", "query")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, ts AS "at", event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT key, "at", id, n, true AS allowed, [t] AS kept FROM e WHERE n = 1
+  UNION ALL SELECT e.key, e."at", e.id, e.n, len(x.live) < 3, CASE WHEN len(x.live) < 3 THEN list_append(x.live, e.t) ELSE x.live END
+  FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1, LATERAL (SELECT list_filter(r.kept, lambda k: e.t - k < 21600000000) AS live) x) SELECT key, "at", id, allowed FROM r""")
 def rate_limited_hits(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"))
     return A.sliding_limit(e, 3, 6 * 3600)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, ts AS "at", event_id AS id, epoch_us(ts) AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT key, "at", id, n, false AS blocked, CASE WHEN ok THEN 0 ELSE 1 END AS fails, CASE WHEN ok THEN NULL ELSE t END AS last FROM e WHERE n = 1
+  UNION ALL SELECT e.key, e."at", e.id, e.n, x.shut, CASE WHEN x.shut THEN r.fails WHEN e.ok THEN 0 ELSE r.fails + 1 END, CASE WHEN x.shut OR e.ok THEN r.last ELSE e.t END
+  FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1, LATERAL (SELECT r.fails >= 3 AND r.last IS NOT NULL AND e.t - r.last < 86400000000 AS shut) x) SELECT key, "at", id, blocked FROM r""")
 def lockouts(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("ok"))
     return A.lockouts(e, 3, 24 * 3600)

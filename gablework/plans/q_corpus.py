@@ -94,18 +94,33 @@ def av_windows(s: SparkSession, d: str) -> DataFrame:
     return C.hopping_windows(e.withColumn("end", F.col("start")), width=86400.0, overlap=21600.0).select("doc_id", "window_no", "first_no", "last_no", "text")
 
 
+#: Rows (doc_id, no, start, end, text) of the JSON segments of recordings.
+SEG = r"""j AS (SELECT doc_id, TRY_CAST(segments_json AS JSON) AS j FROM documents WHERE kind <> 'website'),
+a AS (SELECT doc_id, CASE WHEN json_type(j) = 'ARRAY' THEN j WHEN json_type(j, '$.segments') = 'ARRAY' THEN j -> '$.segments' WHEN json_type(j, '$.snippets') = 'ARRAY' THEN j -> '$.snippets' END AS l FROM j),
+i AS (SELECT doc_id, l, unnest(range(0, CAST(json_array_length(l) AS BIGINT))) AS k FROM a WHERE l IS NOT NULL),
+f AS (SELECT doc_id, k, coalesce(TRY_CAST(json_extract_string(l, '$[' || k || '].start') AS DOUBLE), 0) AS s, TRY_CAST(json_extract_string(l, '$[' || k || '].end') AS DOUBLE) AS e, TRY_CAST(json_extract_string(l, '$[' || k || '].duration') AS DOUBLE) AS dur, trim(coalesce(json_extract_string(l, '$[' || k || '].text'), '')) AS text FROM i),
+seg AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS no, s AS start, greatest(s, coalesce(e, s + dur, s)) AS "end", text FROM f WHERE text <> '')"""
+
+
 def _segments(s: SparkSession, d: str) -> DataFrame:
     """Timed segments of recordings, from their JSON lists."""
     rows = _docs(s, d).filter("kind <> 'website'").select("doc_id", F.posexplode(transcripts.json_segments(F.coalesce("segments_json", F.lit("[]")))).alias("no", "x"))
     return rows.select("doc_id", F.col("no").cast("long").alias("no"), "x.start", "x.end", "x.text")
 
 
-@query()
+@query(f"""WITH {SEG}, x AS (SELECT *, trim(regexp_replace(regexp_replace(text, '[\\[(]\\s*[A-Za-z,''-]+(?: +[A-Za-z,''-]+){{0,2}}\\s*[\\])]', ' ', 'g'), '\\s+', ' ', 'g')) AS t, start - min(start) OVER (PARTITION BY doc_id) AS pos FROM seg),
+w AS (SELECT x.*, unnest(range(greatest(0, CAST(floor((pos - 120) / 105.0::DOUBLE) AS BIGINT) + 1), CAST(floor(pos / 105.0::DOUBLE) AS BIGINT) + 1)) AS window_no FROM x),
+g AS (SELECT doc_id, window_no, min(start) AS start, greatest(max("end"), min(start)) AS "end", coalesce(array_to_string(list(t ORDER BY no) FILTER (WHERE t <> ''), ' '), '') AS text, min(no) AS first_no, max(no) AS last_no FROM w WHERE pos >= window_no * 105.0 AND pos < window_no * 105.0 + 120 GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, first_no, last_no ORDER BY window_no) AS nth FROM g) SELECT doc_id, window_no, start, "end", text, first_no, last_no FROM n WHERE nth = 1 AND text <> ''""")
 def recording_windows(s: SparkSession, d: str) -> DataFrame:
     return C.hopping_windows(_segments(s, d), width=120.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEG}, r AS (
+  SELECT doc_id, no, start, "end", text, 0 AS group_no FROM seg WHERE no = 0
+  UNION ALL SELECT s.doc_id, s.no, CASE WHEN x.apart THEN s.start ELSE r.start END, CASE WHEN x.apart THEN s."end" ELSE greatest(r."end", s."end") END, CASE WHEN x.apart THEN s.text ELSE r.text || ' ' || s.text END, CASE WHEN x.apart THEN r.group_no + 1 ELSE r.group_no END
+  FROM r JOIN seg s ON s.doc_id = r.doc_id AND s.no = r.no + 1, LATERAL (SELECT s."end" - r.start >= 30 OR (s.start = 0 AND s."end" = 0) AS apart) x
+) SELECT doc_id, group_no, arg_max(start, no) AS start, arg_max("end", no) AS "end", arg_max(text, no) AS text FROM r GROUP BY doc_id, group_no""")
 def merge_segments(s: SparkSession, d: str) -> DataFrame:
     return C.merged_segments(_segments(s, d), 30.0)
 
@@ -115,7 +130,10 @@ def text_chunks(s: SparkSession, d: str) -> DataFrame:
     return C.passages(_docs(s, d))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT embedding_model AS "group", row_number() OVER (PARTITION BY embedding_model ORDER BY doc_id, idx) AS no, CAST(floor(length(text) / 4) AS INTEGER) AS tokens FROM chunks),
+r AS (SELECT "group", no, tokens, 0 AS batch, 1 AS n, tokens AS total FROM c WHERE no = 1
+  UNION ALL SELECT c."group", c.no, c.tokens, CASE WHEN r.n + 1 > 128 OR r.total + c.tokens > 10000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.n + 1 > 128 OR r.total + c.tokens > 10000 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n + 1 > 128 OR r.total + c.tokens > 10000 THEN c.tokens ELSE r.total + c.tokens END
+  FROM r JOIN c ON c."group" IS NOT DISTINCT FROM r."group" AND c.no = r.no + 1) SELECT "group", no, tokens, batch FROM r""")
 def embed_batches(s: SparkSession, d: str) -> DataFrame:
     c = _chunks(s, d).select(F.col("embedding_model").alias("group"), F.row_number().over(win.Window.partitionBy("embedding_model").orderBy("doc_id", "idx")).alias("no"), T.approx_tokens(F.col("text")).alias("tokens"))
     return C.next_batches(c, most_items=128, most_tokens=10_000)

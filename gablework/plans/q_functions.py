@@ -72,7 +72,16 @@ def mortgage_payments(s: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", deals.level_payment(loan, F.lit(0.065), F.lit(30)).alias("payment"), deals.one_percent(loan, F.col("o_totalprice") / 90).alias("one_percent"))
 
 
-@query()
+def _half_up(x: str, places: int) -> str:
+    """A double rounded as its decimal digits are, half up."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 16)), {places}) AS DOUBLE)"
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS p FROM orders), b AS (SELECT *, {_half_up('p * 0.75::DOUBLE', 2)} AS loan, p * 0.011::DOUBLE AS rent, p * 0.003::DOUBLE AS costs FROM a),
+c AS (SELECT *, CASE WHEN loan <= 0 THEN 0.0::DOUBLE ELSE {_half_up('loan * (0.065::DOUBLE / 12) * pow(1 + 0.065::DOUBLE / 12, 360) / (pow(1 + 0.065::DOUBLE / 12, 360) - 1)', 2)} END AS debt, {_half_up('rent * 0.95::DOUBLE', 2)} AS income FROM b),
+e AS (SELECT *, {_half_up('income - costs', 2)} AS op FROM c), f AS (SELECT *, {_half_up('op - debt', 2)} AS flow, op * 12 AS noi FROM e)
+SELECT o_orderkey, loan, debt, flow, {_half_up('noi', 2)} AS noi, CASE WHEN p <= 0 THEN 0.0 ELSE {_half_up('noi / p', 4)} END AS cap_rate, CASE WHEN p <= 0 THEN 0.0 ELSE {_half_up('round(flow * 12, 2) / (p * 0.25::DOUBLE + p * 0.02::DOUBLE)', 4)} END AS cash_on_cash,
+CASE WHEN debt <= 0 THEN 0.0 ELSE {_half_up('noi / (debt * 12)', 2)} END AS debt_cover, CASE WHEN rent <= 0 THEN 0.0 ELSE {_half_up('(costs + debt) / rent', 4)} END AS break_even, p > 0 AND rent >= p * 0.01::DOUBLE AS one_percent FROM f""")
 def deal_analysis(s: SparkSession, d: str) -> DataFrame:
     price = F.col("o_totalprice")
     a = deals.analysis(price, F.lit(0.25), F.lit(0.065), F.lit(30), price * 0.011, F.lit(0.05), price * 0.003, price * 0.02)
@@ -88,7 +97,12 @@ def question_flags(s: SparkSession, d: str) -> DataFrame:
     return q.select("id", F.array_join(flags.flags(c, rules), ",").alias("flags"))
 
 
-@query()
+@query("""WITH q AS (SELECT DISTINCT * FROM questions_log), f AS (SELECT id, question, coalesce(trim(regexp_replace(lower(translate(question, '‘’“”áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÉÈÊËÍÓÖÚÜÑÇ', '''''""aaaaaaeeeeiiiiooooouuuuncaaaaeeeeioouunc')), '[\\s\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{3000}]+', ' ', 'g')), '') AS t FROM q),
+w AS (SELECT *, len(list_filter(regexp_split_to_array(t, ' +'), lambda x: x <> '')) AS n FROM f),
+s AS (SELECT *, t = '' OR (regexp_matches(t, '^(?:hi|hello|hey|thanks|thank you|hola|gracias|bye)\\b') AND n <= 8) AS small_talk FROM w)
+SELECT id, regexp_matches(t, '\\b(?:tenant|applicant|inquilin)\\w*(?:\\W+\\w+){0,11}\\W+(?:ask|refus|paga)\\w*|\\b(?:ask|refus|paga)\\w*(?:\\W+\\w+){0,11}\\W+(?:tenant|applicant|inquilin)\\w*') AS near, small_talk,
+regexp_matches(t, '^(?:and|but|what about|how about|also|y|pero)\\b') OR regexp_matches(t, '^(?:it|that|this|they|those|these|he|she|eso|esto)\\b') OR n < 10 AS follow_up,
+CASE WHEN small_talk THEN 'low' WHEN regexp_matches(t, '\\b(?:checklist|letter)(?:s|es)?\\b') OR n > 60 THEN 'high' ELSE 'default' END AS effort FROM s""")
 def question_nearness(s: SparkSession, d: str) -> DataFrame:
     q = table(s, d, "questions_log").dropDuplicates(["id"])
     c = F.col("question")

@@ -159,8 +159,23 @@ def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.one_line(_entries(spark, sf_dir), F.to_date(F.lit(TODAY)))
 
 
-@query()
+_SAID = "trim(regexp_replace(coalesce(what, ''), '[\\s\\x{00}-\\x{1f}\\x{7f}]+', ' ', 'g'))"
+_KINDS = "', '".join(L.KINDS)
+
+
+@query(f"""WITH {E}, v AS (SELECT lower(unnest(list_concat([canonical], aliases))) AS a, canonical FROM ref_values WHERE field = 'log_entries.kind'), w AS (SELECT *, lower(trim(coalesce(kind, ''))) AS k, lower(trim(coalesce(happened_on, ''))) AS w FROM entries),
+s AS (SELECT *, CASE WHEN regexp_full_match(w, '\\d{{1,2}}/\\d{{1,2}}(/(\\d{{2}}|\\d{{4}}))?') THEN string_split(w, '/') END AS p FROM w),
+y AS (SELECT s.*, CASE WHEN p IS NULL THEN NULL WHEN len(p) = 2 THEN 2026 WHEN CAST(p[3] AS INTEGER) < 100 THEN CAST(p[3] AS INTEGER) + 2000 ELSE CAST(p[3] AS INTEGER) END AS y, coalesce(v.canonical, CASE WHEN k IN ('{_KINDS}') THEN k ELSE 'note' END) AS kd FROM s LEFT JOIN v ON v.a = s.k)
+SELECT id, owner_id, kd AS kind, left({_SAID}, 400) AS what, CASE WHEN amount >= 0 AND amount <= 10000000 THEN CAST(round(CAST(CAST(amount AS VARCHAR) AS DECIMAL(28,6)), 2) AS DOUBLE) END AS amount,
+CASE WHEN lower(trim(coalesce(status, ''))) IN ('open', 'done') THEN lower(trim(status)) WHEN kd = 'maintenance' THEN 'open' ELSE '' END AS status,
+CASE WHEN kd <> 'maintenance' THEN '' WHEN lower(trim(coalesce(urgency, ''))) IN ('routine', 'urgent', 'emergency') THEN lower(trim(urgency)) ELSE 'routine' END AS urgency,
+CAST(CASE WHEN w IN ('today', 'hoy', '') THEN DATE '{TODAY}' WHEN w IN ('yesterday', 'ayer') THEN DATE '{TODAY}' - 1 WHEN regexp_full_match(w, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AND TRY_CAST(w AS DATE) IS NOT NULL THEN TRY_CAST(w AS DATE)
+  WHEN p IS NOT NULL THEN coalesce(TRY_CAST(printf('%04d-%02d-%02d', y, CAST(p[1] AS INTEGER), CAST(p[2] AS INTEGER)) AS DATE), DATE '{TODAY}') ELSE DATE '{TODAY}' END AS VARCHAR) AS happened_on,
+CASE WHEN {_SAID} = '' THEN 'nothing said' WHEN amount IS NOT NULL AND NOT (amount >= 0 AND amount <= 10000000) THEN 'amount' END AS problem FROM y""")
 def ledger_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = table(spark, sf_dir, "ref_values").filter("field = 'log_entries.kind'").limit(1000).collect()
+    refs = table(spark, sf_dir, "ref_values").filter("field = 'log_entries.kind'").limit(L.MAX_ROWS + 1).collect()
+    if len(refs) > L.MAX_ROWS:
+        raise ValueError(f"more than {L.MAX_ROWS} kinds are listed")
     synonyms = {a.lower(): r.canonical for r in refs for a in [r.canonical, *r.aliases]}
-    return L.validate(_entries(spark, sf_dir), F.to_date(F.lit(TODAY)), synonyms)
+    out = L.validate(_entries(spark, sf_dir), F.to_date(F.lit(TODAY)), synonyms)
+    return out.withColumn("amount", F.col("amount").cast("double")).withColumn("happened_on", F.col("happened_on").cast("string"))

@@ -8,21 +8,25 @@ from pyspark.sql import window as win
 
 from ..operators import packs as P
 from ..session import table
+from ..functions import urls as U
 from ..sources import feeds, html, transcripts
-from .q_corpus import WORDS
+from .q_corpus import SEG, WORDS
 from .registry import query
 
 
-@query()
+@query(f"""WITH {SEG}, t AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), '\\n\\s*\\n') AS p FROM documents WHERE kind <> 'website' AND coalesce(length(segments_json), 0) <= 2 AND trim(coalesce(text, '')) <> ''),
+x AS (SELECT doc_id, generate_subscripts(p, 1) AS k, unnest(list_transform(p, lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g')))) AS text FROM t)
+SELECT doc_id, CAST(no AS INTEGER) AS no, start, "end", text FROM seg UNION ALL SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER), 0.0, 0.0, text FROM x WHERE text <> ''""")
 def parsed_segments(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").filter("kind <> 'website'").select("doc_id", F.when(F.length("segments_json") > 2, "json").otherwise("txt").alias("suffix"), F.when(F.length("segments_json") > 2, F.col("segments_json")).otherwise(F.col("text")).alias("text"))
     return transcripts.parse(docs).select("doc_id", F.posexplode("segments").alias("no", "x")).select("doc_id", "no", "x.*")
 
 
-@query("""WITH x AS (SELECT DISTINCT locator AS url FROM documents WHERE kind = 'website' AND doc_id % 2 = 0) SELECT url FROM x WHERE contains(url, '/blog/') AND url NOT IN (SELECT locator FROM documents WHERE doc_id % 4 = 0)""")
+@query("""WITH x AS (SELECT DISTINCT locator AS url FROM documents WHERE kind = 'website') SELECT url FROM x WHERE contains(url, '/blog/') AND url NOT IN (SELECT locator FROM documents WHERE doc_id % 4 = 0)""")
 def sitemap_diff(s: SparkSession, d: str) -> DataFrame:
+    """All addresses of posts against a made-up store that has a fourth of the documents."""
     docs = table(s, d, "documents")
-    listed = docs.filter("kind = 'website' and doc_id % 2 = 0").select(F.col("locator").alias("url"))
+    listed = docs.filter("kind = 'website'").select(F.col("locator").alias("url"))
     return feeds.sitemap_gaps(listed, docs.filter("doc_id % 4 = 0"), "/blog/")
 
 
@@ -37,7 +41,10 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
     return linked.select("url", F.concat(F.lit("<html><head><title>"), esc(F.col("title")), F.lit("</title></head><body><nav><p>Menu</p>"), link("a"), link("b"), F.lit("</nav>"), body, F.lit("</body></html>")).alias("html"))
 
 
-@query()
+@query("""WITH l AS (SELECT locator, title, generate_subscripts(a, 1) AS k, unnest(a) AS x FROM (SELECT locator, title, string_split(text, chr(10)) AS a FROM documents WHERE kind = 'website')),
+b AS (SELECT locator, k, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS x FROM l),
+u AS (SELECT locator, x, min(k) AS k FROM b WHERE x <> '' GROUP BY ALL), t AS (SELECT locator, string_agg(x, chr(10) || chr(10) ORDER BY k) AS text FROM u GROUP BY locator)
+SELECT d.locator AS url, CASE WHEN trim(coalesce(d.title, '')) = '' THEN d.locator ELSE trim(regexp_replace(d.title, '\\s+', ' ', 'g')) END AS title, coalesce(t.text, '') AS text FROM documents d LEFT JOIN t USING (locator) WHERE kind = 'website'""")
 def html_main_text(s: SparkSession, d: str) -> DataFrame:
     return html.extract(_pages(s, d)).select("url", "title", "text")
 
@@ -47,11 +54,18 @@ def page_links(s: SparkSession, d: str) -> DataFrame:
     return html.discovered(html.extract(_pages(s, d)))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT source, regexp_replace(locator, '\\?utm_.*$', '') AS url, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE kind = 'website'),
+l AS (SELECT DISTINCT a.url, b.url AS link FROM p a JOIN p b ON a.source IS NOT DISTINCT FROM b.source AND b.n // 2 = a.n),
+r AS (SELECT url, 0 AS hops FROM p WHERE n = 1 UNION SELECT l.link, r.hops + 1 FROM r JOIN l ON l.url = r.url WHERE r.hops < 40)
+SELECT url, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY url""")
 def crawl_hops(s: SparkSession, d: str) -> DataFrame:
-    links = html.discovered(html.extract(_pages(s, d)))
-    start = table(s, d, "documents").filter("kind = 'website' and source = 'harrowgate-owners.example'").agg(F.min_by("locator", "doc_id")).first()[0]
-    return html.crawl_order(links, start, 4)
+    """From the first page of every site at once, until no page is new; page n of a site links to its pages 2n and 2n + 1."""
+    w = win.Window.partitionBy("source").orderBy("doc_id")
+    at = table(s, d, "documents").filter("kind = 'website'").select("source", U.canonical(F.col("locator")).alias("url"), F.row_number().over(w).alias("n"))
+    child = at.select("source", F.col("url").alias("link"), F.floor(F.col("n") / 2).cast("int").alias("n"))
+    made = at.join(child, ["source", "n"], "left").groupBy("url").agg(F.concat_ws("", F.transform(F.collect_set("link"), lambda x: F.concat(F.lit("<a href='"), x, F.lit("'>x</a>")))).alias("html"))
+    links = html.discovered(html.extract(made))
+    return html.crawl_order(links, at.filter("n = 1").select("url"))
 
 
 @query(f"""SELECT CASE WHEN kind <> 'website' THEN 'recordings' WHEN contains(locator, '/blog/') THEN 'posts' ELSE 'pages' END AS section, count(*) AS documents, CAST(sum({WORDS}) AS BIGINT) AS words FROM documents GROUP BY 1""")
@@ -59,7 +73,12 @@ def pack_coverage(s: SparkSession, d: str) -> DataFrame:
     return P.coverage(table(s, d, "documents"))
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT doc_id, CASE WHEN kind <> 'website' THEN 'recordings' WHEN contains(locator, '/blog/') THEN 'posts' ELSE 'pages' END AS section, CASE WHEN kind <> 'website' THEN coalesce(TRY_CAST(episode AS INTEGER), -1) END AS number, published_at, lower(title) AS name,
+length(concat_ws(chr(10), '### ' || coalesce(nullif(trim(title), ''), 'Untitled'), nullif(trim(link), ''), nullif(trim(published_at), ''), '', trim(text))) + 2 AS chars FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY number NULLS FIRST, CASE WHEN section = 'posts' THEN published_at END DESC NULLS LAST, name NULLS FIRST, doc_id) AS n FROM x),
+r AS (SELECT section, doc_id, chars, n, 0 AS part, chars AS size FROM o WHERE n = 1
+  UNION ALL SELECT o.section, o.doc_id, o.chars, o.n, CASE WHEN r.size + o.chars > 400000 THEN r.part + 1 ELSE r.part END, CASE WHEN r.size + o.chars > 400000 THEN o.chars ELSE r.size + o.chars END FROM r JOIN o ON o.section = r.section AND o.n = r.n + 1)
+SELECT section, doc_id, chars, CAST(part AS BIGINT) AS part FROM r""")
 def pack_parts(s: SparkSession, d: str) -> DataFrame:
     return P.packed(P.rendered(table(s, d, "documents")), 400_000)
 

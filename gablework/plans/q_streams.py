@@ -27,6 +27,9 @@ def stream_usage(s: SparkSession, d: str) -> DataFrame:
     return S.run_once(S.usage(_events(s, d)), "usage", "complete")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, true AS allowed, [t] AS kept FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, len(x.live) < 3, CASE WHEN len(x.live) < 3 THEN list_append(x.live, e.t) ELSE x.live END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1, LATERAL (SELECT list_filter(r.kept, lambda k: e.t - k < 21600000000) AS live) x) SELECT user_id, event_id, allowed FROM r""")
 def stream_rate_limit(s: SparkSession, d: str) -> DataFrame:
     return S.run_once(S.limited(_events(s, d), 3, 6 * 3600), "limit", "append")

@@ -114,13 +114,18 @@ def discovered(extracted: DataFrame, *, include: str | None = None, exclude: str
     return rows.distinct()
 
 
-def crawl_order(links: DataFrame, start: str, depth: int) -> DataFrame:
-    """(url, hops): pages reachable in at most so many hops, with the fewest; one join a hop, each cut from the plan before it."""
+def crawl_order(links: DataFrame, starts: DataFrame, most_hops: int | None = None) -> DataFrame:
+    """(url, hops): pages reachable from the start pages (url), with the fewest hops; one join a hop, each cut from the plan before it.
+
+    All start pages are crawled at once, until no page is new or most_hops are gone.
+    """
     from ..session import cut
 
-    seen = links.sparkSession.createDataFrame([(start, 0)], "url string, hops int")
-    front = seen
-    for hop in range(1, depth + 1):
+    links = cut(links)
+    seen = front = cut(starts.select("url").distinct().withColumn("hops", F.lit(0)))
+    hop = 0
+    while most_hops is None or hop < most_hops:
+        hop += 1
         nxt = links.join(front.select("url"), "url").select(F.col("link").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
         front = cut(nxt.withColumn("hops", F.lit(hop)))
         if front.isEmpty():

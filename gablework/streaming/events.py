@@ -31,9 +31,9 @@ def daily_counts(events: DataFrame, late: str = "60 days") -> DataFrame:
 
 
 def first_signals(events: DataFrame, late: str = "60 days") -> DataFrame:
-    """(user_id, event_type): each signal of each owner once; its state is kept for the watermark."""
+    """(user_id, event_type): each signal of each owner once within the watermark; its state is dropped thereafter."""
     at = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    return at.dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
+    return at.dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
 
 
 def usage(events: DataFrame) -> DataFrame:
