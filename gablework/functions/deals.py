@@ -60,3 +60,12 @@ def analysis(price: Column, down: Column, rate: Column, years: Column, rent: Col
         loan.alias("loan"), debt.alias("debt"), flow["month"].alias("flow"), F.round(noi, 2).alias("noi"), cap_rate(noi, price).alias("cap_rate"), cash_on_cash(flow["year"], cash).alias("cash_on_cash"),
         debt_cover(noi, debt * 12).alias("debt_cover"), break_even(costs, debt, rent).alias("break_even"), one_percent(price, rent).alias("one_percent"),
     )
+
+
+def problem(*, price: Column, rate: Column, years: Column, amounts: dict[str, Column]) -> Column:
+    """What is wrong with the input of an analysis, the first thing found, or null: ranges of years and rates, a positive price, no negative amounts."""
+    out = F.when(price.isNull(), "price is required").when(price <= 0, "price must be greater than zero")
+    out = out.when(~years.between(1, 50), "years must be between 1 and 50").when(~rate.between(0.0, 1.0), "rate must be between 0 and 1")
+    for name, c in amounts.items():
+        out = out.when(c < 0, f"{name} cannot be negative")
+    return out

@@ -54,3 +54,43 @@ def follow_up(c: Column, cues: Sequence[str] = ("and", "but", "what about", "how
 def effort(c: Column, hard: Sequence[str], most_words: int = 12) -> Column:
     """low for small talk, high for long texts or those with a hard word, else default."""
     return F.when(small_talk(c), "low").when(any_word(c, hard) | (T.word_count(c) > most_words * 5), "high").otherwise("default")
+
+
+def place_flag(c: Column, *, home: Sequence[str], region: Sequence[str], cities: Sequence[str], states: Sequence[str], before: Sequence[str], nouns: Sequence[str], suffixes: Sequence[str]) -> Column:
+    """outside, region or null: where a text is about, by gazetteers.
+
+    A city of the outside settles it. A state counts only in context, after one of the words `before` or before one of the `nouns`, and not where it
+    names a street (a suffix follows). A place of the region counts unless a place of home is named as well.
+    """
+    t = T.fold(F.coalesce(c, F.lit("")))
+    any_of = lambda xs: "(?:" + "|".join(re.escape(x) for x in xs) + ")"
+    bare = F.regexp_replace(t, rf"\b{any_of(states)}\s+{any_of(suffixes)}\b", " ")
+    outside = t.rlike(any_of(cities)) | bare.rlike(rf"\b{any_of(before)}\s+{any_of(states)}\b|\b{any_of(states)}\s+{any_of(nouns)}\b")
+    return F.when(outside, "outside").when(t.rlike(any_of(region)) & ~t.rlike(any_of(home)), "region")
+
+
+def _acted_near(words: Column, terms: Sequence[str], size: int, acts: str, reach: int) -> Column:
+    """Whether a term of so many words stands among the words with an act in the window around it."""
+    named = "^(?:" + "|".join(" ".join(re.escape(w) + "(?:s|es)?" for w in x.split()) for x in terms) + ")$"
+    last = F.size(words) - size + 1
+    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    window = lambda i: F.array_join(F.slice(words, F.greatest(i - reach, F.lit(1)), F.least(i - 1, F.lit(reach)) + size + reach), " ")
+    return F.exists(places, lambda i: F.array_join(F.slice(words, i, size), " ").rlike(named) & window(i).rlike(acts))
+
+
+def risk(c: Column, *, phrases: Sequence[str], terms: Sequence[str], acts: str, reach: int = 12) -> Column:
+    """Whether a text holds one of the phrases, or an act (a pattern: verbs, split verbs, stems) within `reach` words around one of the terms.
+
+    Terms match word by word, plurals count. Each place of a term is looked at with its own window.
+    """
+    t = T.fold(F.coalesce(c, F.lit("")))
+    words = F.regexp_extract_all(t, F.lit(r"[a-z0-9']+"), F.lit(0))
+    hit = t.rlike("|".join(re.escape(p) for p in phrases)) if phrases else F.lit(False)
+    for size in sorted({len(x.split()) for x in terms}):
+        hit = hit | _acted_near(words, [x for x in terms if len(x.split()) == size], size, acts, reach)
+    return hit
+
+
+def not_covered(question: Column, coverage: Column, answer: Column, phrase: str) -> Column:
+    """Whether an answer leaves a gap: no small talk, and thin coverage or an answer that says so."""
+    return ~small_talk(question) & (F.coalesce(coverage.isin("none", "weak"), F.lit(False)) | F.contains(T.fold(F.coalesce(answer, F.lit(""))), F.lit(phrase)))

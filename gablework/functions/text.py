@@ -95,9 +95,13 @@ def content_hash(c: Column) -> Column:
     return F.sha2(F.coalesce(c, F.lit("")), 256)
 
 
+#: Fixed value: a sentence, as proposals and passages are matched.
+SENTENCE = r"[^.!?\n]+[.!?]?"
+
+
 def sentences(c: Column) -> Column:
     """Runs up to a full stop, question or exclamation mark or line end, trimmed, none blank."""
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0)), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(SENTENCE), F.lit(0)), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
 
 
 def figures(c: Column) -> Column:
@@ -176,3 +180,26 @@ def magic_type(b: Column) -> Column:
         F.when(head.startswith("89504E470D0A1A0A"), "image/png").when(head.startswith("FFD8FF"), "image/jpeg").when(head.startswith("474946383"), "image/gif")
         .when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp").when(head.startswith("255044462D"), "application/pdf")
     )
+
+
+def split_note(c: Column) -> Column:
+    """A struct (quote, comment) of a note: what follows "From: " at its start or after the end of a sentence is the quote."""
+    line = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    marked = line.rlike(r"^(?:.*?[.;:!?]\s)?From:\s")
+    part = lambda n: F.trim(F.regexp_extract(line, r"^(?:(.*?[.;:!?])\s)?From:\s(.*)$", n))
+    return F.struct(F.when(marked, part(2)).otherwise("").alias("quote"), F.when(marked, part(1)).otherwise(line).alias("comment"))
+
+
+def plain_punctuation(c: Column) -> Column:
+    """Dashes as plain hyphens between blanks, runs of blanks as one."""
+    return F.regexp_replace(F.regexp_replace(c, "\\s*[\u2014\u2013]\\s*", " - "), "[ \\t]{2,}", " ")
+
+
+def without_notice(c: Column, notice: str) -> Column:
+    """A text without the sentences of its last paragraph that match a pattern; a text of nothing else stays as it is."""
+    paras = F.split(F.rtrim(c), "\n\n")
+    kept = F.filter(F.split(F.regexp_replace(F.try_element_at(paras, F.lit(-1)), r"([.!?])\s+", "$1\u001f"), "\u001f"), lambda s: ~s.rlike(notice))
+    head = F.slice(paras, F.lit(1), F.size(paras) - 1)
+    last = F.trim(F.array_join(kept, " "))
+    cleaned = F.when(F.size(kept) > 0, F.array_join(F.concat(head, F.array(last)), "\n\n")).when(F.size(paras) > 1, F.array_join(head, "\n\n")).otherwise(c)
+    return F.when(F.try_element_at(paras, F.lit(-1)).rlike(notice), cleaned).otherwise(c)

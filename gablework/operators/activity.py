@@ -276,3 +276,8 @@ def concat_distinct(lists: Sequence[DataFrame], key: str) -> DataFrame:
         out = p if out is None else out.unionByName(p)
     first = win.Window.partitionBy(key).orderBy("_list", "place")
     return out.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").withColumnRenamed("_list", "from_list")
+
+
+def live_sessions(sessions: DataFrame, accounts: DataFrame, now: Column, key: str) -> DataFrame:
+    """sessions (key, expires_at, ...) that haven't expired, with the columns of their accounts (key, ...); a key without an account has no session."""
+    return sessions.filter(F.col("expires_at") > now).join(accounts, key)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as win
 
 from ..functions import dates, money
+from ..functions import text as T
 
 MONEY_IN, MONEY_OUT = ("income",), ("expense", "bill")
 KINDS = ("expense", "bill", "income", "maintenance", "visit", "note")
@@ -197,3 +198,13 @@ def one_line(rows: DataFrame, today: Column) -> DataFrame:
         F.expr("nullif(trim(vendor), '')"), F.when(day.isNotNull(), F.concat(F.datediff(today, day).cast("string"), F.lit(" days ago"))),
     )
     return rows.select("id", parts.alias("line"))
+
+
+def validate_properties(raw: DataFrame, *, most_label: int = 120, most_units: int = 5000) -> DataFrame:
+    """raw (id, label, units as typed) with clean label, units and problem: a label is needed; units are blank, 0 (both unknown) or 1 to most_units."""
+    label = T.flat(F.col("label"), most_label)
+    typed = F.trim(F.coalesce("units", F.lit("")))
+    number = typed.try_cast("double")
+    units = F.when(~typed.isin("", "0"), F.floor(number).cast("int"))
+    bad = F.when(label == "", "label").when(~typed.isin("", "0") & number.isNull(), "units is no number").when((units < 1) | (units > most_units), "units out of range")
+    return raw.select("id", label.alias("label"), F.when(bad.isNull(), units).alias("units"), bad.alias("problem"))

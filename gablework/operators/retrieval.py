@@ -206,3 +206,13 @@ def best_per_document(found: DataFrame, *, limit: int, kinds: tuple[str, ...] =
     out = out.withColumn("_n", F.row_number().over(by_doc)).filter("_n = 1").drop("_n")
     order = win.Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
     return out.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+
+
+def topic_quotes(found: DataFrame, *, kind: str | None = None, k: int = 3, chars: int = 300) -> DataFrame:
+    """(query_id, chunk_id, place, quote, said_in) of the best k passages of a topic; the kind is filtered before the cut. found: (query_id, chunk_id, kind, rank, text, title)."""
+    out = found.filter(F.col("kind") == kind) if kind else found
+    place = F.row_number().over(win.Window.partitionBy("query_id").orderBy("rank", "chunk_id"))
+    out = out.withColumn("place", place).filter(F.col("place") <= k)
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    quote = F.when(F.length(text) > chars, F.concat(F.rtrim(F.left(text, F.lit(chars))), F.lit("…"))).otherwise(text)
+    return out.select("query_id", "chunk_id", "place", quote.alias("quote"), F.concat(F.lit("— "), F.coalesce("title", F.lit("untitled"))).alias("said_in"))
