@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as win
 
 from ..functions import text as T
+from ..session import cut
 
 #: Seconds to wait after each failed delivery; the last holds for all later ones.
 BACKOFF = (60, 300, 900, 3600, 21600)
@@ -54,9 +55,15 @@ def last_questions(threads: DataFrame, n: int) -> DataFrame:
 
 
 def transcript_tail(threads: DataFrame, most: int) -> DataFrame:
-    """(owner_id, transcript): all of an owner's messages, oldest thread first, cut to the last characters, a leading … if cut."""
+    """(owner_id, transcript): all of an owner's messages, oldest thread first, cut to the last characters, a leading … if cut.
+
+    Threads that lie before the last characters are left out before anything is gathered.
+    """
     lines = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")
-    by = threads.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("updated_at", "id", lines.alias("t")))).alias("all"))
+    later = win.Window.partitionBy("owner_id").orderBy(F.col("updated_at").desc_nulls_last(), F.col("id").desc_nulls_last()).rowsBetween(win.Window.unboundedPreceding, -1)
+    after = F.coalesce(F.sum(F.length(lines) + 1).over(later), F.lit(0))
+    kept = threads.withColumn("_after", after).filter(F.col("_after") <= most)
+    by = kept.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("updated_at", "id", lines.alias("t")))).alias("all"))
     whole = F.array_join(F.transform("all", lambda x: x["t"]), "\n")
     return by.select("owner_id", F.when(F.length(whole) > most, F.concat(F.lit("…"), F.right(whole, F.lit(most)))).otherwise(whole).alias("transcript"))
 
@@ -103,9 +110,13 @@ def usage(log: DataFrame, cap: int) -> DataFrame:
 
 def daily_cap(log: DataFrame, cap: int) -> DataFrame:
     """(id, day, nth, allowed): each question's running number within its UTC day, and whether it is within the cap."""
-    day = F.to_date("asked_at")
-    nth = F.row_number().over(win.Window.partitionBy(day).orderBy("asked_at", "id"))
-    return log.select("id", day.cast("string").alias("day"), nth.alias("nth")).withColumn("allowed", F.col("nth") <= cap)
+    # numbered by minute, on top of the day's earlier minutes: no task holds a day
+    rows = log.select("id", "asked_at", F.to_date("asked_at").alias("day"), F.date_trunc("minute", "asked_at").alias("minute"))
+    minutes = rows.groupBy("day", "minute").agg(F.count("*").alias("n"))
+    before = minutes.select("minute", (F.sum("n").over(win.Window.partitionBy("day").orderBy("minute")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(win.Window.partitionBy("minute").orderBy("asked_at", "id"))
+    out = rows.withColumn("inside", inside).join(cut(before), "minute")
+    return out.select("id", F.col("day").cast("string").alias("day"), (F.col("before") + F.col("inside")).cast("int").alias("nth")).withColumn("allowed", F.col("nth") <= cap)
 
 
 def first_signals(signals: DataFrame) -> DataFrame:

@@ -31,8 +31,9 @@ def ingest_outcomes(arriving: DataFrame, stored: DataFrame, force: bool = False)
     arriving = arriving.withColumn("_nth", F.row_number().over(win.Window.partitionBy("id").orderBy("seq")))
     by_id = stored.select("id", F.col("content_hash").alias("_old"))
     by_hash = stored.groupBy("content_hash").agg(F.min("id").alias("_twin"), F.max("id").alias("_other"))
-    first = win.Window.partitionBy("content_hash").orderBy("seq", "id")
-    out = arriving.join(by_id, "id", "left").join(by_hash, "content_hash", "left").withColumn("_first", F.first("id").over(first))
+    # the first of each hash is found by aggregation, and only hashes that come twice are joined: a hot hash is no one's task
+    firsts = arriving.groupBy("content_hash").agg(F.min(F.struct("seq", "id")).alias("_f"), F.count("*").alias("_c")).filter("_c > 1").select("content_hash", F.col("_f.id").alias("_first"))
+    out = join_sized(join_sized(arriving.join(by_id, "id", "left"), cut(by_hash), ["content_hash"], "left", salt=F.xxhash64("id")), cut(firsts), ["content_hash"], "left", salt=F.xxhash64("id"))
     twin = F.when(F.col("_twin") != F.col("id"), F.col("_twin")).when(F.col("_other") != F.col("id"), F.col("_other")).when(F.col("_first") != F.col("id"), F.col("_first"))
     same = F.col("_old").eqNullSafe(F.col("content_hash"))
     outcome = (
@@ -82,8 +83,8 @@ def without_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def twins(docs: DataFrame) -> DataFrame:
     """(id, twin): of documents that share a text, all but the least locator with the id of that one."""
-    order = win.Window.partitionBy("content_hash").orderBy("locator", "id")
-    out = docs.select("id", "content_hash", "locator", F.first("id").over(order).alias("twin"))
+    firsts = docs.groupBy("content_hash").agg(F.min(F.struct("locator", "id")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("content_hash", F.col("f.id").alias("twin"))
+    out = join_sized(docs.select("id", "content_hash"), cut(firsts), ["content_hash"], salt=F.xxhash64("id"))
     return out.filter("id <> twin").select("id", "twin")
 
 
@@ -230,11 +231,11 @@ def shared_lines(docs: DataFrame, *, share: float = 0.4, least: int = 3, longest
 def strip_shared_lines(docs: DataFrame, *, share: float = 0.4, least: int = 3, thin: int = 40) -> DataFrame:
     """(doc_id, text, words, hollow): documents without their source's shared lines; hollow if fewer than `thin` words are left."""
     shared = cut(shared_lines(docs, share=share, least=least).select("source", "line"))
-    trimmed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("no"), x.alias("raw"), F.regexp_replace(x, r"(?U)^\s+|\s+$", "").alias("line")))
-    lines = docs.select("doc_id", "source", F.explode(trimmed).alias("x")).select("doc_id", "source", "x.*")
-    gone = join_sized(lines, shared, ["source", "line"], "left_semi", salt=F.col("doc_id")).groupBy("doc_id").agg(F.collect_set("no").alias("gone"))
-    out = docs.select("doc_id", "text").join(gone, "doc_id", "left")
-    kept = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
+    # each line is in a large share of its source's documents, so a source has few; the lists come to the texts, no text is shuffled while sources are few
+    lists = cut(shared.groupBy("source").agg(F.collect_set("line").alias("gone")))
+    out = join_sized(docs.select("doc_id", "source", "text"), lists, ["source"], "left", salt=F.xxhash64("doc_id"))
+    bare = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    kept = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~F.array_contains(F.coalesce("gone", F.array().cast("array<string>")), bare(x)))
     out = out.select("doc_id", F.array_join(kept, "\n").alias("text"))
     return out.withColumn("words", T.word_count(F.col("text"))).withColumn("hollow", F.col("words") < thin)
 

@@ -14,6 +14,7 @@ from pyspark.sql import window as win
 
 from ..functions import dates, money
 from ..functions import text as T
+from ..session import cut, join_sized
 
 MONEY_IN, MONEY_OUT = ("income",), ("expense", "bill")
 KINDS = ("expense", "bill", "income", "maintenance", "visit", "note")
@@ -145,24 +146,29 @@ def maintenance_history(rows: DataFrame) -> DataFrame:
 
 
 def resolve_property(asked: DataFrame, properties: DataFrame) -> DataFrame:
-    """(ask_id, property_id) for asked rows (ask_id, owner_id, text): the owner's property that a text means.
+    """(ask_id, property_id, rank) for asked rows (ask_id, owner_id, text): the owner's property that a text means.
 
     By rank: the id itself; the same label; a label that holds the text or is held by it (over three letters); the same city;
-    a blank text means an owner's only property. Ties go to the property added first. The join is by owner.
+    a blank text means an owner's only property. Ties go to the property added first. Equal texts of an owner are asked once; all ranks but the
+    third are equi-joins, and the third is only asked where no id or label is equal.
     """
     p = properties.select("owner_id", F.col("id").alias("property_id"), F.lower(F.trim("label")).alias("label"), F.lower(F.trim("city")).alias("city"), F.col("created_at").alias("added"))
-    p = p.withColumn("n", F.count("*").over(win.Window.partitionBy("owner_id")))
-    t = F.lower(F.trim(F.coalesce("text", F.lit(""))))
-    rank = (
-        F.when(F.trim("text") == F.col("property_id"), 1)
-        .when((t != "") & (t == F.col("label")), 2)
-        .when((F.length(t) > 3) & F.col("label").contains(t) | (F.length("label") > 3) & t.contains(F.col("label")), 3)
-        .when((t != "") & (t == F.col("city")), 4)
-        .when((t == "") & (F.col("n") == 1), 5)
-    )
-    met = asked.join(p, "owner_id").withColumn("rank", rank).filter("rank is not null")
-    first = win.Window.partitionBy("ask_id").orderBy("rank", F.col("added").asc_nulls_first(), "property_id")
-    return met.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("ask_id", "property_id", "rank")
+    p = cut(p.repartition("owner_id"))
+    texts = asked.select("owner_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    want = cut(texts.withColumn("t", F.lower(F.trim("text"))))
+    hit = lambda rows, rank: rows.select("owner_id", "text", F.struct(F.lit(rank).alias("rank"), F.col("added").isNotNull().alias("known"), "added", "property_id").alias("hit"))
+    by_id = hit(want.withColumn("property_id", F.trim("text")).join(p, ["owner_id", "property_id"]), 1)
+    by_label = hit(want.filter("t <> ''").withColumn("label", F.col("t")).join(p, ["owner_id", "label"]), 2)
+    sure = cut(by_id.union(by_label))
+    open_ = want.filter("t <> ''").join(sure.select("owner_id", "text").distinct(), ["owner_id", "text"], "left_anti")
+    held = (F.length("t") > 3) & F.contains("label", "t") | (F.length("label") > 3) & F.contains("t", "label")
+    part = hit(open_.join(p, "owner_id").filter(held), 3)
+    by_city = hit(open_.withColumn("city", F.col("t")).join(p, ["owner_id", "city"]), 4)
+    single = p.groupBy("owner_id").agg(F.count("*").alias("n"), F.min("property_id").alias("property_id"), F.min("added").alias("added")).filter("n = 1")
+    only = hit(want.filter("t = ''").join(single, "owner_id"), 5)
+    best = cut(sure.union(part).union(by_city).union(only).groupBy("owner_id", "text").agg(F.min("hit").alias("hit")))
+    met = join_sized(asked.withColumn("text", F.coalesce("text", F.lit(""))), best, ["owner_id", "text"], salt=F.xxhash64("ask_id"))
+    return met.select("ask_id", "hit.property_id", "hit.rank")
 
 
 def close_maintenance(rows: DataFrame, ids: DataFrame, now: Column) -> DataFrame:

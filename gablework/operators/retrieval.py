@@ -122,10 +122,13 @@ def one_per_episode(candidates: DataFrame) -> DataFrame:
     An episode number under more than one document and more than one kind keeps its best video chunk, else its best chunk.
     Episodes of one kind, and chunks without an episode, stay as they are.
     """
+    # chunks without an episode are no group; that of an episode is one episode's chunks
+    named, rest = candidates.filter("episode is not null"), candidates.filter("episode is null")
     group = win.Window.partitionBy("query_id", "episode")
-    mixed = (F.size(F.collect_set("kind").over(group)) > 1) & (F.size(F.collect_set("doc_id").over(group)) > 1) & F.col("episode").isNotNull()
+    several = lambda c: F.min(c).over(group) != F.max(c).over(group)
     first = group.orderBy((F.col("kind") == "youtube").desc(), F.round("score", 9).desc(), "chunk_id")
-    return candidates.withColumn("_mixed", mixed).withColumn("_n", F.row_number().over(first)).filter("not _mixed or _n = 1").drop("_mixed", "_n")
+    one = named.withColumn("_mixed", several("kind") & several("doc_id")).withColumn("_n", F.row_number().over(first)).filter("not _mixed or _n = 1").drop("_mixed", "_n")
+    return one.unionByName(rest)
 
 
 def coverage(top_bm25: Column, has_tokens: Column, top_cosine: Column, has_vectors: Column, positives: Column, ratio: Column) -> Column:
