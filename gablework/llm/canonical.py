@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The canonical list is sent to every task: about 200 bytes a row, 20 MB in all at most.
+#: The canonical list is broadcast: about 200 bytes a row, 20 MB in all at most.
 MAX_REFS = 100_000
 #: Values remembered by a worker; beyond it the memory is emptied. It only saves work.
 MEMO = 200_000
@@ -167,6 +168,10 @@ class Matcher:
         return self.exact.get(v) or self.mention(v) or self.similar(v)
 
 
+#: Automata of a worker, by the token of the call that they are for.
+_TOOLS: dict[str, dict] = {}
+
+
 def map_values(rows: DataFrame, refs: DataFrame, fields: dict[str, str], key: str = "id") -> DataFrame:
     """(field, row_key, value, ref_id) for the free values of rows. fields: name in refs.field -> column of rows."""
     listed = refs.filter(F.col("field").isin(*fields)).select("ref_id", "field", "canonical", "aliases").limit(MAX_REFS + 1).collect()
@@ -176,10 +181,14 @@ def map_values(rows: DataFrame, refs: DataFrame, fields: dict[str, str], key: st
     for r in listed:
         if r.canonical is not None:
             by[r.field].append((r.ref_id, r.canonical, r.aliases))
-    names = list(fields)
+    names, token = list(fields), uuid.uuid4().hex
+    shared = rows.sparkSession.sparkContext.broadcast(by)  # at most MAX_REFS rows, sent once to an executor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = {f: (Matcher(f, by[f]), {c for _, c, _ in by[f]}, {}) for f in names}
+        tools = _TOOLS.get(token)
+        if tools is None:  # a worker builds its automata once for all its tasks
+            _TOOLS.clear()
+            tools = _TOOLS[token] = {f: (Matcher(f, shared.value[f]), {c for _, c, _ in shared.value[f]}, {}) for f in names}
         for b in batches:
             keys = b.column(0).to_pylist()
             for i, f in enumerate(names, 1):
