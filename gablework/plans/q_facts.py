@@ -83,12 +83,37 @@ def proposals(s: SparkSession, d: str) -> DataFrame:
     return X.proposals(_passages(s, d), PLACES, binding=BIND).select("chunk_id", "sentence_no", "kind", "low", "high")
 
 
-@query()
+def _ordered(c: str) -> str:
+    """Distinct terms in the order of their first places."""
+    return f"list_filter(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9áéíóúñü]+'), lambda t: length(t) > 2 AND t NOT IN ({_NOISE})), lambda x, i: list_position(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9áéíóúñü]+'), lambda t: length(t) > 2 AND t NOT IN ({_NOISE})), x) = i)"
+
+
+def _place(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN contains(lower({c}), '{p.lower()}') THEN '{p}'" for p in PLACES) + " END"
+
+
+_FLAT = "trim(regexp_replace(lower({c}), '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))"
+GROUPS = f"""{CAND}, {SENT}, {KEPT}, {TOK}, raw AS (SELECT y.chunk_id || '#' || y.sentence_no AS id, CASE WHEN a IS NULL THEN 'rule' ELSE 'cost' END AS kind, y.sentence AS rule, array_to_string((list_filter({_ordered('y.sentence')}, lambda w: NOT regexp_full_match(w, '\\d+')))[1:4], ' ') AS topic,
+  coalesce({_place('y.sentence')}, {_place('p.text')}, '') AS jur, y.chunk_id AS source FROM y JOIN p USING (chunk_id)),
+k AS (SELECT *, list_sort({terms('topic')}) AS words, kind || '|' || {_FLAT.format(c='jur')} || '|' || array_to_string(list_sort(list_distinct(regexp_extract_all(rule, '\\d+(?:[.,]\\d+)?'))), ',') AS nk, kind || '|' || {_FLAT.format(c='rule')} AS fp FROM raw),
+f AS (SELECT *, nk || '|' || array_to_string(words, ' ') AS fact FROM k), lab AS (SELECT DISTINCT nk, fact, words FROM f WHERE len(words) > 0),
+edge AS (SELECT DISTINCT x.fact AS a, y.fact AS b FROM f x JOIN f y ON x.fp = y.fp AND x.fact <> y.fact UNION SELECT x.fact, y.fact FROM lab x JOIN lab y ON x.nk = y.nk AND x.fact <> y.fact AND list_has_all(y.words, x.words) UNION SELECT y.fact, x.fact FROM lab x JOIN lab y ON x.nk = y.nk AND x.fact <> y.fact AND list_has_all(y.words, x.words)),
+reach AS (SELECT DISTINCT fact AS root, fact AS node FROM f UNION SELECT r.root, e.b FROM reach r JOIN edge e ON e.a = r.node), comp AS (SELECT node AS fact, min(root) AS g FROM reach GROUP BY 1),
+g AS (SELECT g, count(*) AS support, count(DISTINCT source) AS sources, arg_max(struct_pack(id := id, rule := rule, topic := topic, words := words), struct_pack(a := least(length(rule), 400), b := source, c := id)) AS lead FROM f JOIN comp USING (fact) GROUP BY g),
+gw AS (SELECT g, unnest(lead.words) AS w FROM g), cnt AS (SELECT w, count(*) AS n FROM gw GROUP BY 1), cap AS (SELECT greatest(2, CAST(floor(count(*) * 0.4) AS BIGINT)) AS c FROM g),
+sub AS (SELECT g, arg_min(w, struct_pack(a := CASE WHEN n > c THEN 1 ELSE 0 END, b := CASE WHEN n <= c THEN -n ELSE 0 END, d := w)) AS subject FROM gw JOIN cnt USING (w), cap GROUP BY g),
+kt AS (SELECT DISTINCT unnest({terms('canonical')}) AS w FROM ref_values), kn AS (SELECT g, count(*) >= 2 AS known FROM gw JOIN kt USING (w) GROUP BY g),
+ask AS (SELECT DISTINCT id, unnest({terms('question')}) AS w FROM questions_log WHERE not_covered), gt AS (SELECT DISTINCT g, unnest({terms("lead.topic || ' ' || lead.rule")}) AS w FROM g),
+wa AS (SELECT DISTINCT g, true AS wanted FROM (SELECT g, id FROM gt JOIN ask USING (w) GROUP BY g, id HAVING count(*) >= 2)),
+o AS (SELECT support, sources, lead.id AS lead_id, lead.topic AS topic, coalesce(subject, 'other') AS subject, coalesce(known, false) AS known, coalesce(wanted, false) AS wanted, false AS cited FROM g LEFT JOIN sub USING (g) LEFT JOIN kn USING (g) LEFT JOIN wa USING (g))"""
+
+
+@query(f"""WITH RECURSIVE {GROUPS} SELECT *, CAST(sum(support) OVER w AS BIGINT) AS weight, bool_or(wanted) OVER w AS asked_for, bool_or(cited) OVER w AS has_cite, CAST(row_number() OVER (PARTITION BY known, subject ORDER BY wanted DESC, cited DESC, support DESC, topic, lead_id) AS INTEGER) AS place FROM o WINDOW w AS (PARTITION BY known, subject)""")
 def proposal_groups(s: SparkSession, d: str) -> DataFrame:
     raws = X.proposals(_passages(s, d), PLACES, binding=BIND).select(F.concat_ws("#", "chunk_id", F.col("sentence_no").cast("string")).alias("id"), "kind", "rule", "topic", "jurisdiction", F.lit("").alias("citation"), F.col("chunk_id").alias("source"))
     known = table(s, d, "ref_values").select(F.explode(T.terms(F.col("canonical"))).alias("term"))
     asked = table(s, d, "questions_log").dropDuplicates(["id"]).filter("not_covered").select(F.col("id").alias("query_id"), F.col("question").alias("text"))
-    return X.review_order(X.grouped_proposals(raws, known, asked))
+    return X.review_order(X.grouped_proposals(raws, known, asked)).drop("group_id")
 
 
 @query(f"WITH {CAND} SELECT count(*) AS passages, CAST(ceil((sum(least(length(text), 1200)) / 3.6::DOUBLE + ceil(count(*) / 12.0::DOUBLE) * 500) * 1.25::DOUBLE) AS BIGINT) AS input_tokens, CAST(ceil((count(*) * 120 + ceil(count(*) / 12.0::DOUBLE) * 200) * 1.25::DOUBLE) AS BIGINT) AS output_tokens FROM p")
