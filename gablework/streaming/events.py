@@ -41,10 +41,16 @@ def usage(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-def limited(events: DataFrame, most: int, seconds: int) -> DataFrame:
-    """(user_id, event_id, allowed) of a sliding limit by key, the allowed hits of the last window (at most `most`) being the state."""
+def limited(events: DataFrame, most: int, seconds: int, late: str = "60 days") -> DataFrame:
+    """(user_id, event_id, allowed) of a sliding limit by key, the allowed hits of the last window (at most `most`) being the state.
+
+    A key's state ends once the watermark has passed its last window.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
         for pdf in frames:
             pdf = pdf.sort_values(["t", "event_id"])
@@ -56,9 +62,12 @@ def limited(events: DataFrame, most: int, seconds: int) -> DataFrame:
                     kept.append(float(x))
             yield pd.DataFrame({"user_id": key[0], "event_id": pdf["event_id"], "allowed": ok})
         state.update((kept,))
+        ends = int((max(kept, default=0.0) + seconds) * 1000)
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
 
-    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, allowed boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    at = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    rows = at.select("user_id", "event_id", "at", F.col("at").cast("double").alias("t"))
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, allowed boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, name: str, mode: str) -> DataFrame:
