@@ -12,6 +12,8 @@ from collections.abc import Sequence
 import numpy as np
 
 TOKEN = re.compile(r"\d{1,3}(?:,\d{3})+(?!\w)|[+#]?\w(?:[\w@+.'’/\-–—]*\w)?|\S")
+#: Weights are the mean of those after each of the last epochs.
+AVERAGED = 5
 #: Sentences in which a word must stand to have features of its own; invented names must not.
 KNOWN = 5
 REACH = (-3, -2, -1, 0, 1, 2, 3)
@@ -105,7 +107,7 @@ class Crf:
         gold = [np.array([at[t] for t in s], np.int64) for s in tags]
         w, tr, st = np.zeros((len(self.index), k), np.float32), np.zeros((k, k), np.float32), np.zeros(k, np.float32)
         params, moments = [w, tr, st], [[np.zeros_like(p) for p in (w, tr, st)] for _ in range(2)]
-        rng, step = np.random.default_rng(seed), 0
+        rng, step, mean = np.random.default_rng(seed), 0, [np.zeros_like(p) for p in params]
         for epoch in range(epochs):
             order = rng.permutation(len(feats))
             lr = rate * (1 - 0.8 * epoch / epochs)
@@ -142,7 +144,10 @@ class Crf:
                     v *= 0.99
                     v += 0.01 * g * g
                     p -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-        self.weights, self.trans, self.start = w, tr, st
+            if epoch >= epochs - AVERAGED:
+                for total, p in zip(mean, params, strict=True):
+                    total += p / min(AVERAGED, epochs)
+        self.weights, self.trans, self.start = mean
         self._reset()
         return self
 

@@ -27,7 +27,7 @@ la casa de {A} | noted by {N}, home address {A} | noted by {N}, lives on {A} | t
 the invoice for {A} is overdue | stop by {A} in the morning | the furnace of {A} | papers for {A} | a spare key to {A} | {N} at {A} | {A}, second door | from {A} to {A} by bus
 chatted with {N} | platiqué con {N} | cheers, {N} | un abrazo, {N} | about {N} | muchas gracias, {N} | {N}'s car broke down | {N}'s bill is open | check with {N} first | yours, {N} | by {N} | handed in by {N} | {N} | {N} phoned | thanks, {N} | thank you {N}
 booking for {N} | guest {N} | my neighbour {N} disagrees | the new coach is {N} | hello {N} | {N} settled in coins | ran into {N} at the gym | el paciente {N} no vino | la doctora {N} avisó | {N} has left | paciente: {N} | {N} asks for a refund | seen by {N} | settled by {N} | {N} and {N} came along | room of {N} | signed, {N} | told by {N}
-{N} and {N} split the bill | {N} wanted {P} | a note for {N} at the counter | la cuenta de {N} | talked with {N} about the match | letter of {N} | {N} {E} | {N}, {P} | {N} {P} | soy {N}, mi celular {P} | noted by {N}, lives on {A} | cheers, {N} | chatted with {N} | gave the bag to {N} at {A} | look for {N} under {P} | saludos de {N} | regards {N}
+co-pilot {N} | co-pilot {N}, {K} {I} | the vice-captain {N}, {I}, {E} | ex-coach {N} phoned | co-pilot {N} {P} | text {P} at dawn, the guard is up | {P} by noon, then {P} | the sister of {N} lives near {A} | {N} and {N} split the bill | {N} wanted {P} | a note for {N} at the counter | la cuenta de {N} | talked with {N} about the match | letter of {N} | {N} {E} | {N}, {P} | {N} {P} | soy {N}, mi celular {P} | noted by {N}, lives on {A} | cheers, {N} | chatted with {N} | gave the bag to {N} at {A} | look for {N} under {P} | saludos de {N} | regards {N}
 """
 #: Sentences and fragments without personal details, and look-alikes.
 WITHOUT = """
