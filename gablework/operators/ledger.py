@@ -214,3 +214,9 @@ def validate_properties(raw: DataFrame, *, most_label: int = 120, most_units: in
     units = F.when(~typed.isin("", "0"), F.floor(number).cast("int"))
     bad = F.when(label == "", "label").when(~typed.isin("", "0") & number.isNull(), "units is no number").when((units < 1) | (units > most_units), "units out of range")
     return raw.select("id", label.alias("label"), F.when(bad.isNull(), units).alias("units"), bad.alias("problem"))
+
+
+def cleaned(rows: DataFrame, *, most_what: int = 400, most_vendor: int = 120) -> DataFrame:
+    """rows as they are shown: what and vendor without markup and control characters, cut to a length; null counts as blank."""
+    show = lambda c, most: T.flat(T.without_markup(F.col(c)), most)
+    return rows.withColumn("what", show("what", most_what)).withColumn("vendor", show("vendor", most_vendor))

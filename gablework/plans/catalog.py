@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_activity, q_corpus, q_facts, q_feeds, q_functions, q_ledger, q_retrieval, q_review, q_sources, q_streams  # noqa: F401  (registration)
+from . import q_activity, q_corpus, q_facts, q_feeds, q_functions, q_ledger, q_retrieval, q_review, q_sources, q_streams, q_upkeep  # noqa: F401  (registration)
 from .registry import QUERIES, SQL, QueryFn
 
 
