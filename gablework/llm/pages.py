@@ -47,7 +47,7 @@ FUNCTION_WORDS = frozenset(
 _BULLET = re.compile(r"^(?:[-–—•*·▪◦‣]|\(?\d{1,2}[).]|[a-z]\))\s+\S")
 _PRICE = re.compile(r",?\s*[$€]\s?\d[\d,.]*\s*$")
 _WORD = re.compile(r"[^\W\d_][\w'’-]*")
-_ENDED = re.compile(r"[.!?…][\"'”’)\]]*$")
+_CLOSERS = "\"'”’)]"
 _LETTERS = re.compile(r"[\W\d_]+")
 _SEPARATED = re.compile(r"[>»›/|:·→]")
 _YEAR = re.compile(r"\b(?:19|20)\d\d\b")
@@ -63,6 +63,16 @@ def letters(line: str) -> str:
     return _LETTERS.sub("", line.lower())
 
 
+def is_ended(line: str) -> bool:
+    """Whether a line ends as a sentence does, closing marks aside."""
+    return line.rstrip(_CLOSERS)[-1:] in (".", "!", "?", "…")
+
+
+def is_item(line: str) -> bool:
+    """Whether a line has a bullet in front or a price at its end."""
+    return _BULLET.match(line) is not None or ("$" in line or "€" in line) and _PRICE.search(line) is not None
+
+
 def path_hash(path: str) -> int:
     return xxhash.xxh64_intdigest(path) - (1 << 63)
 
@@ -75,8 +85,7 @@ def site_names(source: str | None) -> set[str]:
 
 def template(raw: str, sites: set[str]) -> str:
     """A line's letters without the names in it (capitalised words after the first) and the site's; sentences, phrases like titles and lines of capitals keep their names."""
-    words = _WORD.findall(raw.lower())
-    if not raw.isupper() and not _ENDED.search(raw) and (len(words) < 6 or sum(w in FUNCTION_WORDS for w in words) < 2):
+    if not raw.isupper() and not is_ended(raw) and (len(words := _WORD.findall(raw.lower())) < 6 or sum(w in FUNCTION_WORDS for w in words) < 2):
         first, _, rest = raw.lstrip("-–—•*·#«‹← ").partition(" ")
         raw = first + " " + " ".join(w for w in rest.split() if not w.lstrip("(\"'“¿¡")[:1].isupper())
     key = letters(raw)
@@ -87,10 +96,10 @@ def template(raw: str, sites: set[str]) -> str:
 
 def template_hash(raw: str, sites: set[str]) -> int:
     """0 for lines that cannot be templates: items, and lines without letters or of 200 characters or more; odd for sentences."""
-    if len(raw) >= 200 or _BULLET.match(raw) or _PRICE.search(raw):
+    if len(raw) >= 200 or is_item(raw):
         return 0
     key = template(raw, sites)
-    return path_hash(key) & -2 | (_ENDED.search(raw) is not None) if key else 0
+    return path_hash(key) & -2 | is_ended(raw) if key else 0
 
 
 def lead(raw: str, form: int) -> str:
@@ -114,8 +123,8 @@ def unit_text(raw: str) -> str:
 
 
 def page_hash(text: str) -> int:
-    """A hash of the letters of a page's lines in order, equal for its copies; lines without letters don't count."""
-    return path_hash("\n".join(k for k in map(letters, text.split("\n")) if k))
+    """A hash of the letters of a page in order, equal for its copies."""
+    return path_hash(letters(text))
 
 
 def _pages_of(docs: DataFrame) -> DataFrame:
@@ -165,8 +174,9 @@ def read_page(text: str, title: str | None, sites: set[str], common: set[int], s
     want, seen, inside, prose = letters(title or ""), False, 0, 0
     lines = [Line(i, " ".join(x.split())) for i, x in enumerate(text.split("\n")) if x.strip()]
     for x in lines:
-        ended = _ENDED.search(x.raw) is not None
-        plain = letters(x.raw)
+        ended = is_ended(x.raw)
+        # only lines not much longer than the title can be it, or a trail that ends with it
+        plain = letters(x.raw) if want and len(x.raw) < len(title) + 120 else ""
         x.key = template_hash(x.raw, sites)
         if want and plain == want and not seen and plain not in sites:
             x.form, seen = TITLE, True
@@ -178,7 +188,7 @@ def read_page(text: str, title: str | None, sites: set[str], common: set[int], s
             x.form = SHARED
         elif (len(x.words) >= 25 or len(x.words) >= 8 and ended) and x.fun * 6 >= len(x.words):
             x.form = PARA
-        elif _BULLET.match(x.raw) or _PRICE.search(x.raw):
+        elif is_item(x.raw):
             x.form = ITEM
         elif ended and len(x.words) >= 4:
             x.form = SENTENCE
