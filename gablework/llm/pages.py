@@ -152,8 +152,11 @@ def common_templates(docs: DataFrame, *, share_permille: int = SHARE_PERMILLE, l
     tally = cut(once.select("host", F.explode("paths").alias("path")).groupBy("host", "path").agg(F.count("*").alias("n")))
     sizes = cut(once.groupBy("host").agg(F.count("*").alias("pages")))
     often = join_sized(tally.filter(F.col("n") >= least), sizes, ["host"], salt=F.hash("path")).filter(F.col("n") * 1000 >= F.col("pages") * share_permille).select("host", "path")
-    # a sentence that many hosts share is furniture in each of them, however rare it is there
-    shared = cut(tally.filter("path % 2 <> 0").groupBy("path").agg(F.count("*").alias("hosts"), F.sum("n").alias("n")).filter((F.col("hosts") >= HOSTS) & (F.col("n") >= HOST_PAGES)).select("path"))
+    # a sentence that many hosts share is furniture in each of them, however rare it is there; a page stored in many hosts is one page
+    many = cut(tally.filter("path % 2 <> 0").groupBy("path").agg(F.count("*").alias("hosts"), F.sum("n").alias("n")).filter((F.col("hosts") >= HOSTS) & (F.col("n") >= HOST_PAGES)).select("path"))
+    stands = once.select("page", F.explode("paths").alias("path")).filter("path % 2 <> 0")
+    distinct = join_sized(stands, many, ["path"], salt=F.col("page")).distinct().groupBy("path").agg(F.count("*").alias("pages"))
+    shared = cut(distinct.filter(F.col("pages") >= HOST_PAGES).select("path"))
     both = often.withColumn("own", F.lit(True)).union(join_sized(tally.select("path", "host"), shared, ["path"], salt=F.hash("host")).select("host", "path", F.lit(False)))
     each = both.groupBy("host", "path").agg(F.max("own").alias("own"))
     return cut(each.groupBy("host").agg(F.collect_list(F.when(F.col("own"), F.col("path"))).alias("common"), F.collect_list(F.when(~F.col("own"), F.col("path"))).alias("shared")))

@@ -64,6 +64,15 @@ def test_copies_vote_once(spark):
     assert {n for d, n in kept if d == 10} == {0, 1}
 
 
+def test_an_article_of_many_hosts_stays(spark):
+    # one article in twelve hosts is one page: its sentences are not shared by pages; a notice of twelve pages is
+    article = f"Why it leaks\n{PARA.format(n=3, w='gutter')}\nAsk your neighbour first, then ask the owner of it."
+    rows = [(i, "website", f"h{i}.example", "Why it leaks", article, "x") for i in range(12)]
+    rows += [(20 + i, "website", f"h{i}.example", f"The {w}", f"The {w}\n{PARA.format(n=3, w=w)} It is the {w}.\nPlease turn on the scripts of your browser now.", "x") for i, w in enumerate(WORDS[:12])]
+    kept = {(r.doc_id, r.line_no) for r in pages.label_lines(docs(spark, rows)).filter("article").collect()}
+    assert {n for d, n in kept if d == 3} == {0, 1, 2} and {n for d, n in kept if d == 23} == {0, 1}
+
+
 def test_residue(spark):
     para = PARA.format(n=3, w="roof")
     rows = [
