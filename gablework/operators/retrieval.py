@@ -78,16 +78,16 @@ def ranked(scores: DataFrame, cap: int | None = None, places: int = 6) -> DataFr
     return out.filter(F.col("rank") <= cap) if cap else out
 
 
-def cosine(queries: DataFrame, rows: DataFrame, *, k: int = VECTOR_CAP, block: int = 16_384) -> DataFrame:
-    """(query_id, chunk_id, score) of the k most similar rows of each query, in blocks of rows. Both sides: (id, model, embedding).
+def cosine(queries: DataFrame, rows: DataFrame, *, k: int = VECTOR_CAP, block: int = 16_384, query_block: int = 2_048) -> DataFrame:
+    """(query_id, chunk_id, score) of the k most similar rows of each query, in blocks of rows and of queries. Both sides: (id, model, embedding).
 
     Vectors meet those of the same model and length; zero and missing ones have no similar rows. Each block is one product of
     matrices and gives k rows a query, so what is merged is queries x blocks x k.
     """
     size = rows.filter("size(embedding) > 0").count()
-    shards = max(1, -(-size // block))
-    placed = rows.filter("size(embedding) > 0").select(F.col("id").alias("chunk_id"), F.col("model").alias("r_model"), F.col("embedding").alias("r_vec"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
-    asked = queries.filter("size(embedding) > 0").select(F.col("id").alias("query_id"), "model", F.col("embedding").alias("vec"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    shards, asks = max(1, -(-size // block)), max(1, -(-queries.count() // query_block))
+    placed = rows.filter("size(embedding) > 0").select(F.col("id").alias("chunk_id"), F.col("model").alias("r_model"), F.col("embedding").alias("r_vec"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"))
+    asked = queries.filter("size(embedding) > 0").select(F.col("id").alias("query_id"), "model", F.col("embedding").alias("vec"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asks)).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def run(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
@@ -104,7 +104,7 @@ def cosine(queries: DataFrame, rows: DataFrame, *, k: int = VECTOR_CAP, block: i
                     out.append(pd.DataFrame({"query_id": qid, "chunk_id": rs.chunk_id.to_numpy()[top], "score": s[i][top]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []}).astype({"query_id": str, "chunk_id": str, "score": float})
 
-    near = asked.groupBy("shard").cogroup(placed.groupBy("shard")).applyInPandas(run, "query_id string, chunk_id string, score double")
+    near = asked.groupBy("shard", "ask").cogroup(placed.groupBy("shard", "ask")).applyInPandas(run, "query_id string, chunk_id string, score double")
     return ranked(near, k).filter("score > 0").drop("rank")
 
 
@@ -186,10 +186,12 @@ def distinctive_terms(chunks: DataFrame, *, limit: int = 6, min_count: int = 3,
     """
     index = build_index(chunks)
     tf = index.postings.join(chunks.select("chunk_id", "doc_id"), "chunk_id").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("docs"))
+    tf = cut(tf)
+    # what a term needs to know comes to it in one row; a term that most documents hold is spread over salts
+    df = cut(tf.groupBy("term").agg(F.count("*").alias("docs")).join(index.dictionary.select("term", "idf"), "term"))
     n = chunks.select("doc_id").distinct().agg(F.count("*").alias("n_docs"))
     keep = tf.filter((F.col("tf") >= min_count) & (F.length("term") >= 4) & ~F.col("term").rlike(r"^\d+$"))
-    met = keep.join(df, "term").join(index.dictionary.select("term", "idf"), "term").crossJoin(F.broadcast(n))  # one row
+    met = join_sized(keep, df, ["term"], salt=F.xxhash64("doc_id")).crossJoin(F.broadcast(n))  # one row
     floor = F.when(F.col("n_docs") >= small, min_docs).otherwise(1)
     met = met.filter((F.col("idf") > 0) & (F.col("docs") >= floor) & (F.col("docs") <= F.greatest(floor, F.floor(F.col("n_docs") * most_share))))
     score = F.round((1 + F.ln("tf")) * F.col("idf"), 6)
