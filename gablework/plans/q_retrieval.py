@@ -58,7 +58,7 @@ def term_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CORPUS} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM lx WHERE rank <= 8")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = R.build_index(_chunks(spark, sf_dir))
-    return R.ranked(R.bm25(index, _questions(spark, sf_dir)), 8).select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
+    return R.bm25_topk(index, _questions(spark, sf_dir), 8).select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
 
 
 @query(f"WITH {_CORPUS} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ov) WHERE rank <= 8")
