@@ -80,3 +80,11 @@ def test_retrieve(tables, small, fused, monkeypatch):
     want = rows(retrieved(fused, tables[0], 8), *cols)
     no_pairs(monkeypatch)
     assert rows(R.retrieve(*tables), *cols) == want and want
+
+
+def test_topic_quotes(tables, small, fused, monkeypatch):
+    chunks = tables[0]
+    quotes = lambda found: rows(R.topic_quotes(found.select("query_id", "chunk_id", "rank").join(chunks.select("chunk_id", "kind", "text", F.lit("t").alias("title")), "chunk_id"), kind="website"), "query_id", "chunk_id", "place", "quote")
+    want = quotes(retrieved(fused, chunks, 32))
+    no_pairs(monkeypatch)
+    assert quotes(R.retrieve(*tables, k=32)) == want and want
