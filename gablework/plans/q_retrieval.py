@@ -74,10 +74,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CORPUS} SELECT query_id, chunk_id, CAST(lexical_rank AS INTEGER) AS lexical_rank, CAST(vector_rank AS INTEGER) AS vector_rank, round(score, 7) AS score FROM fu")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir)
-    lexical = R.ranked(R.bm25(R.build_index(chunks), _questions(spark, sf_dir)))
-    near = R.ranked(R.cosine(_vectors(spark, sf_dir), chunks.select(F.col("chunk_id").alias("id"), "model", "embedding")))
-    return R.fuse(lexical, near).withColumn("score", F.round("score", 7))
+    return R.fusion(_chunks(spark, sf_dir), _questions(spark, sf_dir), _vectors(spark, sf_dir))
 
 
 _EPISODES = """

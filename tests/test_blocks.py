@@ -82,6 +82,16 @@ def test_retrieve(tables, small, fused, monkeypatch):
     assert rows(R.retrieve(*tables), *cols) == want and want
 
 
+def test_fusion(tables, small, fused, monkeypatch):
+    cols = ("query_id", "chunk_id", "lexical_rank", "vector_rank", "score")
+    want = rows(fused.withColumn("score", F.round("score", 7)), *cols)
+    with monkeypatch.context() as m:
+        m.setattr(blocks, "FULL_ROWS", 0)  # the form for a corpus that no task can hold
+        assert rows(R.fusion(*tables), *cols) == want
+    no_pairs(monkeypatch)
+    assert rows(R.fusion(*tables), *cols) == want and want
+
+
 def test_topic_quotes(tables, small, fused, monkeypatch):
     chunks = tables[0]
     quotes = lambda found: rows(R.topic_quotes(found.select("query_id", "chunk_id", "rank").join(chunks.select("chunk_id", "kind", "text", F.lit("t").alias("title")), "chunk_id"), kind="website"), "query_id", "chunk_id", "place", "quote")
