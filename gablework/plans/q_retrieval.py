@@ -93,11 +93,7 @@ def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 9) DESC, chunk_id) AS n FROM m)
 SELECT query_id, doc_id, chunk_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM b WHERE n = 1) WHERE place <= 5""")
 def find_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir)
-    lexical = R.ranked(R.bm25(R.build_index(chunks), _questions(spark, sf_dir)))
-    near = R.ranked(R.cosine(_vectors(spark, sf_dir), chunks.select(F.col("chunk_id").alias("id"), "model", "embedding")))
-    found = R.fuse(lexical, near).join(chunks.select("chunk_id", "doc_id", "kind", "channel"), "chunk_id")
-    return R.best_per_document(found, limit=5, channel="Desk").select("query_id", "doc_id", "chunk_id", "place")
+    return R.moments(_chunks(spark, sf_dir), _questions(spark, sf_dir), _vectors(spark, sf_dir), limit=5, channel="Desk")
 
 
 @query(f"""WITH {_CORPUS}, w AS (SELECT query_id, list_distinct({toks('text')}) AS want FROM q),

@@ -95,6 +95,14 @@ def test_verdicts(tables, small, monkeypatch):
         assert abs(r.top_bm25 - b.get(q, 0)) < 1e-9 and r.positives == n.get(q, 0) and abs(r.overlap_ratio - h.get(q, 0) / max(1, want[q])) < 1e-9
 
 
+def test_moments(tables, small, fused, monkeypatch):
+    found = fused.join(tables[0].select("chunk_id", "doc_id", "kind", "channel"), "chunk_id")
+    cols = ("query_id", "doc_id", "chunk_id", "place")
+    want = rows(R.best_per_document(found, limit=5, channel="Desk"), *cols)
+    no_pairs(monkeypatch)
+    assert rows(R.moments(*tables, limit=5, channel="Desk"), *cols) == want and want
+
+
 def test_fusion(tables, small, fused, monkeypatch):
     cols = ("query_id", "chunk_id", "lexical_rank", "vector_rank", "score")
     want = rows(fused.withColumn("score", F.round("score", 7)), *cols)
