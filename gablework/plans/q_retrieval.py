@@ -63,7 +63,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CORPUS} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ov) WHERE rank <= 8")
 def overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.ranked(R.overlap(R.build_index(_chunks(spark, sf_dir)), _questions(spark, sf_dir)), 8)
+    return R.overlap_topk(R.build_index(_chunks(spark, sf_dir)), _questions(spark, sf_dir), 8)
 
 
 @query(f"WITH {_CORPUS} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM vr WHERE rank <= 10")

@@ -113,6 +113,13 @@ def test_fusion(tables, small, fused, monkeypatch):
     assert rows(R.fusion(*tables), *cols) == want and want
 
 
+def test_overlap_topk(tables, small, monkeypatch):
+    index = R.build_index(tables[0])
+    want = rows(R.ranked(R.overlap(index, tables[1]), 8), "query_id", "chunk_id", "rank", "score")
+    no_pairs(monkeypatch)
+    assert rows(R.overlap_topk(index, tables[1], 8), "query_id", "chunk_id", "rank", "score") == want and want
+
+
 def test_topic_quotes(tables, small, fused, monkeypatch):
     chunks = tables[0]
     quotes = lambda found: rows(R.topic_quotes(found.select("query_id", "chunk_id", "rank").join(chunks.select("chunk_id", "kind", "text", F.lit("t").alias("title")), "chunk_id"), kind="website"), "query_id", "chunk_id", "place", "quote")
