@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,10 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a corpus that one task may hold when whole rankings are asked for (about 150 bytes and 12 for each asked token), rows
+from ..session import cut
+
+#: Rows of a corpus that one task may hold when whole rankings are asked for (about 150 bytes and 4 for each asked token), rows
 #: of a lane otherwise, questions of a block and asked terms that are sent to the workers.
 FULL_ROWS, LANE_ROWS, QUESTIONS, TERMS = 1_000_000, 131_072, 256, 2_000_000
-PIECE = 65_536
+#: Rows of a piece, at most 65,536: what is needed while one is made goes with its size.
+PIECE = 16_384
 
 
 def order_keys(scores: np.ndarray, places: int) -> np.ndarray:
@@ -37,7 +41,7 @@ class Cell:
 
     def __init__(self, terms: list[str], avgdl: float, k1: float, b: float) -> None:
         self.code, self.kind, self.norm = {t: i for i, t in enumerate(terms)}, code_type(len(terms)), (avgdl, k1, b)
-        self.pieces: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pieces: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.parts: list[pa.RecordBatch] = []
         self.wait: list[pa.RecordBatch] = []
         self.n = self.waiting = 0
@@ -60,13 +64,13 @@ class Cell:
         first = np.ones(len(codes), bool)
         first[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
         starts = np.flatnonzero(first)
-        tf = np.diff(np.append(starts, len(codes))).astype(np.float64)
+        tf = np.diff(starts, append=len(codes))
+        tf = tf.astype(np.min_scalar_type(int(tf.max(initial=0))))  # their part of the score is made when it is asked for
         codes, row = codes[starts], row[starts]
-        dl = part["dl"].to_numpy().astype(np.float64)
-        value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+        norm = k1 * (1 - b + b * part["dl"].to_numpy().astype(np.float64) / avgdl)
         by = np.argsort(codes, kind="stable")
-        self.pieces.append((self.n, len(part), np.searchsorted(codes[by], np.arange(len(self.code) + 1)), row[by], value[by]))
-        self.parts += part.drop_columns(["body", "dl"]).to_batches()
+        self.pieces.append((self.n, np.searchsorted(codes[by], np.arange(len(self.code) + 1)), row[by], tf[by], norm))
+        self.parts += part.drop_columns(["body", "dl"]).combine_chunks().to_batches()
         self.n += len(part)
 
     def done(self) -> Cell:
@@ -81,14 +85,15 @@ class Cell:
 
     def scores(self, terms: list[str], weights: list[float], counts: bool = False) -> np.ndarray:
         """The BM25 score of every row; with counts, how many of the terms it holds."""
-        out = np.zeros(self.n)
+        out, k1 = np.zeros(self.n), self.norm[1]
         asked = [(self.code[t], w) for t, w in zip(terms, weights, strict=True)]
-        for at, n, starts, row, value in self.pieces:
-            own = out[at : at + n]
+        for at, starts, rows, times, norm in self.pieces:
+            own = out[at : at + len(norm)]
             for t, w in asked:
                 lo, hi = starts[t], starts[t + 1]
                 if lo < hi:
-                    own[row[lo:hi]] += 1.0 if counts else w * value[lo:hi]
+                    row, tf = rows[lo:hi], times[lo:hi].astype(np.float64)
+                    own[row] += 1.0 if counts else w * (tf * (k1 + 1) / (tf + norm[row]))
         return out[self.order]
 
 
@@ -118,6 +123,20 @@ def packed(toks: DataFrame, terms: list[str]) -> DataFrame:
     return toks.mapInArrow(run, schema)
 
 
+def stored(rows: DataFrame, ask: str | None = None) -> DataFrame:
+    """rows as few large ones, without column ask: (_ask: its value, none without it; part: rows in Arrow's form, compressed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for own in pc.unique(x.column(ask)).to_pylist() if ask else [None]:
+                some, sink = x.filter(pc.equal(x.column(ask), own)).drop_columns([ask]) if ask else x, pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(some)
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["_ask", "part"])
+
+    return rows.mapInArrow(run, "_ask int, part binary")
+
+
 def in_blocks(
     toks: DataFrame, corpus: DataFrame, asked: DataFrame, emit: Callable[[Cell, pa.Table], Iterator[dict]], schema: str, *, k1: float, b: float, whole: bool = False,
     near: DataFrame | None = None, lane_rows: int = LANE_ROWS, questions: int = QUESTIONS,
@@ -125,8 +144,8 @@ def in_blocks(
     """What emit gives for the questions of each block: columns by name, in batches.
 
     toks: (chunk_id, said, ...); corpus: its row (n, avgdl); asked: (query_id, term, qtf, idf); near: (query_id, chunk_id, rank),
-    the few ranked rows of another search. The corpus is dealt into lanes (whole: one) and copied once for each block of questions;
-    a task holds one lane and takes the block's questions one by one.
+    the few ranked rows of another search. The corpus is dealt into lanes and copied once for each block of questions (whole: it is
+    stored once, and read by the task of each block); a task holds one lane and takes the block's questions one by one.
     """
     terms = sorted(r.term for r in asked.select("term").distinct().limit(TERMS + 1).collect())
     if len(terms) > TERMS:
@@ -138,11 +157,16 @@ def in_blocks(
     if near is not None:
         close = near.groupBy("query_id").agg(F.collect_list(F.struct(F.col("chunk_id").alias("id"), F.col("rank").cast("int").alias("rank"))).alias("near"))
         each = each.join(close, "query_id", "full_outer")
-    lanes, asks = 1 if whole else max(1, -(-n // lane_rows)), max(1, -(-each.count() // questions))
+    lanes, asks = max(1, -(-n // lane_rows)), max(1, -(-each.count() // questions))
     numbers = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
     lane = F.pmod(F.xxhash64("chunk_id"), F.lit(lanes)).cast("int")
-    placed = packed(toks, terms).withColumn("_ask", numbers(asks)).withColumn("_cell", F.col("_ask") * lanes + lane).withColumn("_asks", F.lit(False))
     block = F.pmod(F.xxhash64("query_id"), F.lit(asks)).cast("int")
+    if whole:
+        parts = cut(stored(packed(toks, terms)).unionByName(stored(each.withColumn("_ask", block).repartitionById(asks, F.col("_ask")), "_ask")))
+        # the product with the blocks' numbers, one in a partition, is read part by part in each block's task; nothing is shuffled
+        tasks = toks.sparkSession.range(0, asks, 1, asks).withColumnRenamed("id", "_block").hint("shuffle_replicate_nl")
+        return parts.coalesce(1).join(tasks, F.expr("_ask is null or _ask = _block")).select("_ask", "part").mapInArrow(_held(terms, avgdl, k1, b, emit), schema)
+    placed = packed(toks, terms).withColumn("_ask", numbers(asks)).withColumn("_cell", F.col("_ask") * lanes + lane).withColumn("_asks", F.lit(False))
     wanted = each.withColumn("_ask", block).withColumn("_lane", numbers(lanes)).withColumn("_cell", F.col("_ask") * lanes + F.col("_lane")).withColumn("_asks", F.lit(True)).drop("_lane")
     both = placed.drop("_ask").unionByName(wanted.drop("_ask"), allowMissingColumns=True).repartitionById(asks * lanes, F.col("_cell")).sortWithinPartitions("_asks")
     row_names, question_names = placed.drop("_ask", "_cell", "_asks").columns, each.columns
@@ -162,6 +186,39 @@ def in_blocks(
     return both.mapInArrow(run, schema)
 
 
+def _held(terms: list[str], avgdl: float, k1: float, b: float, emit: Callable[[Cell, pa.Table], Iterator[dict]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task does with the stored parts (see stored) of the corpus and of its questions, in any order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, asked = Cell(terms, avgdl, k1, b), []
+        trim()
+        for x in batches:
+            for ask, part in zip(x.column("_ask").to_pylist(), x.column("part"), strict=True):
+                for rows in pa.ipc.open_stream(part.as_buffer()):
+                    if ask is None:
+                        cell.add(rows)
+                    else:
+                        asked.append(rows)
+        if asked and (cell.n or cell.waiting):
+            x = part = rows = None  # the parts as they came
+            cell = cell.done()
+            trim()
+            for rows in asked:
+                for out in emit(cell, pa.Table.from_batches([rows])):
+                    yield pa.RecordBatch.from_pydict(out)
+        cell = asked = x = part = rows = None
+        trim()
+
+    return run
+
+
+def trim() -> None:
+    """Gives back freed memory: a worker waits for its next task while others hold a corpus."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 def top(k: int, *, counts: bool = False, places: int = 6) -> Callable[[Cell, pa.Table], Iterator[dict]]:
     """The k best rows of each question in a block: query_id, chunk_id, score."""
 

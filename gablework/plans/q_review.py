@@ -100,8 +100,8 @@ SELECT query_id, chunk_id, CAST(place AS INTEGER) AS place, CASE WHEN length(t)
 def topic_quotes(s: SparkSession, d: str) -> DataFrame:
     chunks = q_retrieval._chunks(s, d)
     found = R.retrieve(chunks, q_retrieval._questions(s, d), q_retrieval._vectors(s, d), k=32).select("query_id", "chunk_id", "rank")
-    named = chunks.select("chunk_id", "doc_id", "text", "kind").join(table(s, d, "documents").select("doc_id", "title"), "doc_id")
-    return R.topic_quotes(found.join(named, "chunk_id"), kind="website", k=3, chars=200)
+    texts = table(s, d, "chunks").select(F.col("id").alias("chunk_id"), "text")
+    return R.quotes_of(found.join(chunks.select("chunk_id", "doc_id", "kind"), "chunk_id"), texts, table(s, d, "documents").select("doc_id", "title"), kind="website", k=3, chars=200)
 
 
 @query("""WITH e AS (SELECT DISTINCT * FROM log_entries), n AS (SELECT id, trim(regexp_replace(CASE length(what) % 3 WHEN 0 THEN coalesce(vendor, '') || '. From: ' || what WHEN 1 THEN 'From: ' || what ELSE what END, '\\s+', ' ', 'g')) AS n FROM e WHERE what IS NOT NULL)

@@ -126,3 +126,34 @@ def test_topic_quotes(tables, small, fused, monkeypatch):
     want = quotes(retrieved(fused, chunks, 32))
     no_pairs(monkeypatch)
     assert quotes(R.retrieve(*tables, k=32)) == want and want
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_copies_of_the_corpus_are_shuffled(tables, small):
+    # 23 questions in blocks of 5: the corpus was copied into an exchange once for each
+    assert "Exchange" not in plan(R.retrieve(*tables, k=32))
+
+
+def test_long_counts_keep_their_value(spark):
+    # a term said 70,000 times by one passage, among passages that say it a few times
+    chunks = spark.createDataFrame([("c1", "boiler " * 70_000), ("c2", "boiler"), ("c3", "lease boiler boiler"), *((f"d{i}", "roof") for i in range(9))], "chunk_id string, text string")
+    index, questions = R.build_index(chunks), spark.createDataFrame([("q", "boiler lease")], "query_id string, text string")
+    want = rows(R.bm25(index, questions), "query_id", "chunk_id", "score")
+    assert rows(R.bm25_topk(index, questions, 9), "query_id", "chunk_id", "score") == want and len(want) == 3
+
+
+def test_texts_come_to_the_passages_that_are_quoted(spark, tables, fused, monkeypatch):
+    chunks = tables[0].withColumn("text", F.concat(F.lit(" a  "), "text", F.lit(" b")))
+    titles = spark.createDataFrame([(d, None if d % 3 == 0 else f"t{d}") for d in range(40)], "doc_id long, title string")
+    found = retrieved(fused, chunks, 32).select("query_id", "chunk_id", "rank")
+    cols = ("query_id", "chunk_id", "place", "quote", "said_in")
+    want = rows(R.topic_quotes(found.join(chunks, "chunk_id").join(titles, "doc_id"), kind="website", chars=9), *cols)
+    few = R.quotes_of(found.join(chunks.select("chunk_id", "doc_id", "kind"), "chunk_id"), chunks.select("chunk_id", "text"), titles, kind="website", chars=9)
+    assert rows(few, *cols) == want and want
+    assert "hashpartitioning" not in plan(few)
+    real = R.join_sized
+    monkeypatch.setattr(R, "join_sized", lambda *a, **k: real(*a, **{**k, "max_rows": 2}))  # the form for quotes that are not few
+    assert rows(R.quotes_of(found.join(chunks.select("chunk_id", "doc_id", "kind"), "chunk_id"), chunks.select("chunk_id", "text"), titles, kind="website", chars=9), *cols) == want
